@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, huffman_store, tier_packing, token_counts
+from . import bpe, huffman_store, kn_quality, redirect_filter, tier_packing, token_counts
+from .redirect_filter import Rule
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kn_quality.judge(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
+
+
 def op4_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier_packing.pack(table(spark, sf_dir, "documents"), bpe.tokenizer_path())
 
@@ -25,10 +31,19 @@ def op9_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), bpe.tokenizer_path())
 
 
+URL_RULES = [Rule.of("allow", "org/"), Rule.of("block", "example.org/es/"), Rule.of("block", "example.org/en/1"), Rule.of("allow", "com/fr/"), Rule.of("block", "com/de/")]
+
+
+def op10_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redirect_filter.judge(spark, table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kn_quality": op1_kn_quality,
     "op4_tier_packing": op4_tier_packing,
     "op5_huffman_store": op5_huffman_store,
     "op9_heap_token_counts": op9_heap_token_counts,
+    "op10_redirect_filter": op10_redirect_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {}
