@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, huffman_store, kn_quality, redirect_filter, tier_packing, token_counts
+from . import bpe, grouped_prefix_join, huffman_store, kn_quality, redirect_filter, tier_packing, token_counts
 from .redirect_filter import Rule
 
 
@@ -27,6 +27,10 @@ def op5_huffman_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_store.round_trip(spark, table(spark, sf_dir, "documents"), bpe.tokenizer_path())
 
 
+def op6_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_prefix_join.components_of(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), bpe.tokenizer_path())
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kn_quality": op1_kn_quality,
     "op4_tier_packing": op4_tier_packing,
     "op5_huffman_store": op5_huffman_store,
+    "op6_grouped_prefix_join": op6_grouped_prefix_join,
     "op9_heap_token_counts": op9_heap_token_counts,
     "op10_redirect_filter": op10_redirect_filter,
 }
