@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, grouped_prefix_join, huffman_store, kn_quality, redirect_filter, tier_packing, token_counts
+from . import bpe, grouped_prefix_join, huffman_store, kn_quality, pii_disclosure, redirect_filter, template_decontam, tier_packing, token_counts
 from .redirect_filter import Rule
 
 
@@ -19,6 +19,10 @@ def op1_kn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
 
 
+def op2_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_disclosure.report(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier_packing.pack(table(spark, sf_dir, "documents"), bpe.tokenizer_path())
 
@@ -31,6 +35,11 @@ def op6_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_prefix_join.components_of(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = template_decontam.contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "contaminated", "n_windows", "item_ids")
+
+
 def op9_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), bpe.tokenizer_path())
 
@@ -44,9 +53,11 @@ def op10_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kn_quality": op1_kn_quality,
+    "op2_pii_disclosure": op2_pii_disclosure,
     "op4_tier_packing": op4_tier_packing,
     "op5_huffman_store": op5_huffman_store,
     "op6_grouped_prefix_join": op6_grouped_prefix_join,
+    "op7_template_decontam": op7_template_decontam,
     "op9_heap_token_counts": op9_heap_token_counts,
     "op10_redirect_filter": op10_redirect_filter,
 }
