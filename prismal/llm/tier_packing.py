@@ -57,6 +57,9 @@ class TierPacker:
 
     def _fill(self, window: int, opener: tuple[int, int, int]) -> None:
         n, key, start = opener
+        if n > window:  # of a longer tier that could not be filled
+            insort(self.items, (n - window, key, start + window))
+            n = window
         pieces, gap = [(key, start, n)], window - n
         while gap:
             at = bisect_right(self.items, (gap, float("inf"), 0)) - 1
@@ -89,11 +92,7 @@ class TierPacker:
         left = sum(i[0] for i in self.items)
         while left:
             w = min(1 << (left.bit_length() - 1), self.windows[0])
-            n, key, start = self.items.pop()
-            if n > w:
-                insort(self.items, (n - w, key, start + w))
-                n = w
-            self._fill(w, (n, key, start))
+            self._fill(w, self.items.pop())
             left -= w
 
     def take(self) -> list[tuple[int, list[tuple[int, int, int]]]]:
