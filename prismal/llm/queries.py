@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, grouped_prefix_join, huffman_store, kn_quality, pii_disclosure, redirect_filter, template_decontam, tier_packing, token_counts
+from . import backoff_langid, bpe, grouped_prefix_join, huffman_store, kn_quality, masked_lm, pii_disclosure, redirect_filter, template_decontam, tier_packing, token_counts
 from .redirect_filter import Rule
 
 
@@ -23,6 +23,10 @@ def op2_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_disclosure.report(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier_packing.pack(table(spark, sf_dir, "documents"), bpe.tokenizer_path())
 
@@ -40,6 +44,10 @@ def op7_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "contaminated", "n_windows", "item_ids")
 
 
+def op8_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_langid.identify(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), bpe.tokenizer_path())
 
@@ -54,10 +62,12 @@ def op10_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kn_quality": op1_kn_quality,
     "op2_pii_disclosure": op2_pii_disclosure,
+    "op3_masked_lm": op3_masked_lm,
     "op4_tier_packing": op4_tier_packing,
     "op5_huffman_store": op5_huffman_store,
     "op6_grouped_prefix_join": op6_grouped_prefix_join,
     "op7_template_decontam": op7_template_decontam,
+    "op8_backoff_langid": op8_backoff_langid,
     "op9_heap_token_counts": op9_heap_token_counts,
     "op10_redirect_filter": op10_redirect_filter,
 }
