@@ -7,9 +7,11 @@ there are compared.  Texts of the same size and prefix are one group; groups are
 paired, then expanded to their distinct sets, and these are verified exactly.
 
 To spare the square of a group of near copies, a crowded shingle first pairs its
-groups with one leader only.  Verified links are joined into components, and then
-exactly those pairs of the crowded shingles are verified that are still in
-different components.  No link between components is missed.
+groups with a few leaders only.  Verified links are joined into components, those
+still outside meet more leaders, and in the end exactly those pairs of the crowded
+shingles are verified that are still in different components.  No link between
+components is missed.  Before whole sets are moved, histograms of the sets bound
+what a pair can have in common, and only pairs that can be similar go on.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import pick, write_table
+from .shared import broadcast_if_small, pick, write_table
 from .textkit import chunks, mix, windows
 
 WORDS = 5
@@ -32,8 +34,10 @@ SHARE, WHOLE = 75, 100
 SLOT_BITS = 24
 #: A task reports slots that have so many texts more than the mean.
 CROWD = 12
-#: Up to so many groups of a shingle are paired at once; more begin with a leader.
+#: Up to so many groups of a shingle are paired at once; more begin with leaders,
+#: so many in each round.
 PAIRED = 8
+LEADERS = (2, 4, 8)
 #: Bits of the filter that tells which sets verification needs.
 FILTER_BITS = 1 << 26
 
@@ -86,7 +90,25 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-_ROWS = "doc_id long, n long, signature long, grp long, prefix binary"
+def histogram(hashes: np.ndarray) -> bytes:
+    """How many of a set lie in each of 2 ** k equal ranges, two to a range about; counts stop at 255."""
+    k = max(3, (len(hashes) - 1).bit_length() - 1)
+    return np.minimum(np.bincount((hashes >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k), 255).astype(np.uint8).tobytes()
+
+
+def most_common(x: bytes, y: bytes, n: int, m: int) -> int:
+    """An upper bound of what sets of sizes ``n`` and ``m`` with these histograms share."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if a.max() == 255 or b.max() == 255:
+        return min(n, m)
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    if len(a) > len(b):
+        a, b = b, a
+    b = b.reshape(len(a), -1).sum(axis=1)
+    return int(np.minimum(a, b).sum())
+
+
+_ROWS = "doc_id long, n long, signature long, grp long, prefix binary, histogram binary"
 
 
 def _describe(crowd) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -100,6 +122,7 @@ def _describe(crowd) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             m = b.num_rows
             n, sign, grp = (np.zeros(m, dtype=np.int64) for _ in range(3))
             prefix: list[bytes | None] = [None] * m
+            hist: list[bytes | None] = [None] * m
             for i, s in shingle_sets(b.column(1).to_pylist()):
                 r = rank[slot_of(s)]
                 if r.any():
@@ -109,9 +132,10 @@ def _describe(crowd) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 at = np.arange(1, len(first) + 1, dtype=np.uint64)
                 n[i] = len(s)
                 sign[i] = int(mix(s * np.uint64(0xD6E8FEB86659FD93)).sum().view(np.int64))
-                grp[i] = int((mix(first ^ mix(at)).sum() + mix(np.array([len(s)], dtype=np.uint64))[0]).view(np.int64))
+                grp[i] = int(np.append(mix(first ^ mix(at)), mix(np.array([len(s)], dtype=np.uint64))).sum().view(np.int64))
                 prefix[i] = first.tobytes()
-            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(n), pa.array(sign), pa.array(grp), pa.array(prefix, pa.binary())], names=[c.split(" ")[0] for c in _ROWS.split(", ")])
+                hist[i] = histogram(s)
+            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(n), pa.array(sign), pa.array(grp), pa.array(prefix, pa.binary()), pa.array(hist, pa.binary())], names=[c.split(" ")[0] for c in _ROWS.split(", ")])
 
     return run
 
@@ -175,7 +199,7 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (kind 0) of small runs and with the leaders of crowded ones, whose postings are kept too (kind 1)."""
+    """Pairs (kind 0) of small runs; the postings of crowded ones (kind 1)."""
     for token, grp, place in _runs(batches):
         n, pos = place >> 32, place & 0xFFFFFFFF
         begin = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.empty(0, np.int64)
@@ -189,15 +213,6 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok = _may_match(n[i], pos[i], n[i + k], pos[i + k])
             left.append(i[ok])
             right.append(i[ok] + k)
-        for s, m in zip(begin[size > PAIRED].tolist(), size[size > PAIRED].tolist(), strict=True):
-            e, lead = s + m, s
-            while lead < e:  # sizes rise: the next leader is the first that this one is too small for
-                far = lead + int(np.searchsorted(n[lead:e], n[lead] * WHOLE // SHARE, "right"))
-                x = np.arange(lead + 1, far)
-                x = x[_may_match(n[lead], pos[lead], n[x], pos[x])]
-                left.append(np.full(len(x), lead))
-                right.append(x)
-                lead = far
         if left:
             i, j = np.concatenate(left), np.concatenate(right)
             yield _pair_rows(0, *_distinct(np.minimum(grp[i], grp[j]), np.maximum(grp[i], grp[j])))
@@ -205,6 +220,45 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _pair_rows(1, grp[~small], grp[~small], token[~small], place[~small])
 
 
+def _star_pairs(leaders: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """In runs (token, grp, place, component): pairs with a few leaders, for each range of sizes.
+
+    Leaders are of the most frequent component and the same in every run that has
+    them (the least by a seeded hash), so that pairs repeat; others of that
+    component need no pair.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, grp, place, comp in _runs(batches):
+            if not len(token):
+                continue
+            n, pos = place >> 32, place & 0xFFFFFFFF
+            band = np.floor(np.log(n) / np.log(WHOLE / SHARE)).astype(np.int64)
+            rank = mix(grp.astype(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+            cut = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (band[1:] != band[:-1])))
+            ends = np.append(cut[1:], len(token))
+            left, right = [], []
+            for k, (s, e) in enumerate(zip(cut.tolist(), ends.tolist(), strict=True)):
+                names, which, count = np.unique(comp[s:e], return_inverse=True, return_counts=True)
+                most = int(np.argmax(count))
+                able = np.arange(s, e) if count[most] == 1 else np.flatnonzero(which == most) + s
+                lead = able[np.argpartition(rank[able], leaders - 1)[:leaders]] if len(able) > leaders else able
+                # Leaders meet their own range of sizes and the next one.
+                far = int(ends[k + 1]) if k + 1 < len(cut) and token[cut[k + 1]] == token[s] and band[cut[k + 1]] == band[s] + 1 else e
+                for i in lead.tolist():
+                    j = np.arange(s, far)
+                    j = j[comp[j] != comp[i]]
+                    less = n[j] < n[i]
+                    j = j[np.where(less, _may_match(n[j], pos[j], n[i], pos[i]), _may_match(n[i], pos[i], n[j], pos[j]))]
+                    left.append(np.full(len(j), grp[i]))
+                    right.append(grp[j])
+            if left:
+                a, b = np.concatenate(left), np.concatenate(right)
+                yield _pair_rows(0, *_distinct(np.minimum(a, b), np.maximum(a, b)))
+
+    return run
+
+
 def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All pairs of a run (token, grp, place, component) whose components differ and that can be similar."""
     for token, grp, place, comp in _runs(batches):
@@ -257,9 +311,9 @@ def _needed_bits(pairs: DataFrame) -> np.ndarray:
     return words.view(np.uint8)
 
 
-def _verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The (a, b) of ``pairs`` (doc_ids, written) whose sets are similar. Only sets of these texts are made and moved."""
-    needed = spark.sparkContext.broadcast(_needed_bits(pairs))
+def _sets_of(spark: SparkSession, docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """(id, shingles) of the texts whose doc_id is in the two columns of ``ids``; only these sets are made."""
+    needed = spark.sparkContext.broadcast(_needed_bits(ids))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = needed.value
@@ -271,20 +325,42 @@ def _verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, name: str) -
             found = [(ids[i], s.tobytes()) for i, s in shingle_sets(b.column(1).to_pylist())]
             yield pa.record_batch([pa.array([i for i, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["id", "shingles"])
 
+    made = pick(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(sets, "id long, shingles binary")
+    return write_table(spark, made, name)
+
+
+def _possible(spark: SparkSession, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The (a, b) of ``pairs`` that can be similar by the histograms in ``sets`` (rep, n, histogram)."""
+
+    def able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, n, m = (b.column(i).to_pylist() for i in range(2, 6))
+            ok = []
+            for u, v, p, q in zip(x, y, n, m, strict=True):
+                common = most_common(u, v, p, q)
+                ok.append(WHOLE * common >= SHARE * (p + q - common))
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    one = pairs.join(sets.select(F.col("rep").alias("a"), F.col("n").alias("n"), F.col("histogram").alias("x")), "a")
+    both = one.join(sets.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("histogram").alias("y")), "b")
+    return write_table(spark, both.select("a", "b", "x", "y", "n", "m").mapInArrow(able, "a long, b long"), name)
+
+
+def _similar(spark: SparkSession, pairs: DataFrame, made: DataFrame, name: str) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets in ``made`` (id, shingles) are similar."""
+
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
+                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
                 common = int((both[1:] == both[:-1]).sum())
-                ok.append(WHOLE * common >= SHARE * (len(x) + len(y) - common))
+                ok.append(WHOLE * common >= SHARE * (len(both) - common))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    made = write_table(spark, pick(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(sets, "id long, shingles binary"), f"{name}-sets")
     one = pairs.join(made.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
     both = one.join(made.withColumnsRenamed({"id": "a", "shingles": "x"}), "a").select("a", "b", "x", "y")
-    return write_table(spark, both.mapInArrow(similar, "a long, b long"), f"{name}-links")
+    return write_table(spark, both.mapInArrow(similar, "a long, b long"), name)
 
 
 def components_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -301,47 +377,73 @@ def components_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     base = pick(docs, ["doc_id", "text"])
     crowd = spark.sparkContext.broadcast(crowded_slots(base))
-    rows = base.mapInArrow(_describe(crowd), _ROWS)
-    members = write_table(spark, rows.drop("prefix"), "members")
-    sets = members.where("n > 0 and doc_id is not null").groupBy("grp", "n", "signature").agg(F.min("doc_id").alias("rep"))
-    sets = write_table(spark, sets, "sets")  # distinct texts
+    members = write_table(spark, base.mapInArrow(_describe(crowd), _ROWS), "members")
+    known = members.where("n > 0 and doc_id is not null")
+    sets = write_table(spark, known.groupBy("grp", "n", "signature").agg(F.min("doc_id").alias("rep"), F.first("histogram").alias("histogram")), "sets")  # distinct texts
     heads = sets.groupBy("grp").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("sets"))
 
     # Groups, by the doc_id of their least member, meet at the shingles of their prefixes.
-    groups = rows.where("n > 0 and doc_id is not null").groupBy("grp", "n").agg(F.min("doc_id").alias("head"), F.first("prefix").alias("prefix"))
+    groups = known.groupBy("grp", "n").agg(F.min("doc_id").alias("head"), F.first("prefix").alias("prefix"))
     postings = groups.select("head", "n", "prefix").mapInArrow(_postings, "token long, grp long, place long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_token = lambda df: df.repartition(parts, "token").sortWithinPartitions("token", "place", "grp")
     met = write_table(spark, by_token(postings).mapInArrow(_first_pairs, _PAIRS), "meetings")
-    pairs = met.where("kind = 0").select("a", "b").distinct()
+    small = write_table(spark, met.where("kind = 0").select("a", "b").distinct(), "small-pairs")
+    crowded = met.where("kind = 1").select("token", F.col("a").alias("grp"), "place")
 
     # Distinct sets of one group: each against the head.
-    many = sets.join(heads.where("sets > 1").drop("sets"), "grp")
+    many = write_table(spark, sets.select("grp", "rep").join(heads.where("sets > 1").drop("sets"), "grp"), "shared-prefix")
     inner = many.where("rep != head").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b"))
-    first = write_table(spark, pairs.union(inner), "pairs")
-    links = _verify(spark, base, first, "first")
-    nodes = components(spark, links)
+    able = _possible(spark, small.union(inner), sets, "small-possible")
+    wanted = able.union(crowded.select(F.col("grp").alias("a"), F.col("grp").alias("b")).distinct()).union(many.select("head", "rep"))
+    made = _sets_of(spark, base, wanted, "needed-sets")
 
-    # What is still apart: crowded shingles, and sets of a group that the head does not stand for.
+    links = _similar(spark, able, made, "links-0")
+    nodes = components(spark, links)
     label = lambda df, c: df.join(nodes.withColumnsRenamed({"node": c, "component": f"{c}_in"}), c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
-    crowded = label(met.where("kind = 1").select("token", "a", "place"), "a").select("token", F.col("a").alias("grp"), "place", F.col("a_in").alias("component"))
-    across = by_token(crowded).mapInArrow(_cross_pairs, _PAIRS).select("a", "b").distinct()
-    apart = write_table(spark, label(label(many.select("grp", F.col("head").alias("a"), F.col("rep").alias("b")), "a"), "b").select("grp", F.col("a").alias("head"), F.col("b").alias("rep"), (F.col("a_in") != F.col("b_in")).alias("apart"), F.col("b_in").alias("component")), "apart")
-    loose = apart.where("apart").select("head").distinct()
-    rest = across
+    runs = lambda: by_token(label(crowded, "grp").select("token", "grp", "place", "grp_in"))
+    some = not crowded.isEmpty()
+    for k, leaders in enumerate(LEADERS if some else ()):
+        star = write_table(spark, runs().mapInArrow(_star_pairs(leaders, k), _PAIRS).select("a", "b").distinct(), f"star-{k}")
+        links = links.union(_similar(spark, _possible(spark, star, sets, f"star-possible-{k}"), made, f"links-{k + 1}"))
+        nodes = components(spark, links)
+
+    # What is still apart: groups of crowded shingles, and sets of a group that the head does not stand for.
+    if some:
+        rest = write_table(spark, runs().mapInArrow(_cross_pairs, _PAIRS).select("a", "b").distinct(), "cross")
+        links = links.union(_similar(spark, _possible(spark, rest, sets, "cross-possible"), made, "links-cross"))
+        nodes = components(spark, links)
+    loose = write_table(spark, label(label(many.withColumnsRenamed({"head": "a", "rep": "b"}), "a"), "b").where("a_in != b_in").select(F.col("a").alias("head")).distinct(), "loose")
     if not loose.isEmpty():
-        wide = apart.join(loose, "head", "left_semi").select("head", "rep")
-        other = pairs.union(across).distinct()
-        spread = lambda df, c: df.join(wide.withColumnRenamed("head", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
+        wide = many.join(loose, "head", "left_semi").select("head", "rep")
+        # Loose groups pair with all others of a run; the others have one label among them.
+        marked = crowded.join(loose.withColumn("own", F.col("head")).withColumnRenamed("head", "grp"), "grp", "left").select("token", "grp", "place", F.coalesce("own", F.lit(-(2**63))).alias("component"))
+        other = small.union(by_token(marked).mapInArrow(_cross_pairs, _PAIRS).select("a", "b")) if some else small
+        for c in ("a", "b"):
+            other = other.join(wide.withColumnRenamed("head", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
         inside = wide.join(wide.withColumnRenamed("rep", "other"), "head").where("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
-        both = spread(spread(other, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(inside).distinct()
-        rest = label(label(both, "a"), "b").where("a_in != b_in").select("a", "b")
-    rest = write_table(spark, rest.join(first.distinct(), ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = _verify(spark, base, rest, "rest")
-        nodes = components(spark, links.union(more))
+        both = other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(inside).distinct()
+        rest = write_table(spark, label(label(both, "a"), "b").where("a_in != b_in").select("a", "b"), "expanded")
+        able = _possible(spark, rest, sets, "expanded-possible")
+        links = links.union(_similar(spark, able, _sets_of(spark, base, able, "expanded-sets"), "links-expanded"))
+        nodes = components(spark, links)
 
     named = sets.join(nodes.withColumnRenamed("node", "rep"), "rep", "left").select("grp", "n", "signature", F.coalesce("component", "rep").alias("set_in"))
     out = members.join(named, ["grp", "n", "signature"], "left")
     # A doc_id of several rows has the least component of its texts.
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("set_in", "doc_id").alias("component_id"))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns and one row for each component of similar texts, the least doc_id.
+
+    Of rows with one doc_id one stays. Rows without a doc_id or without words stay.
+    """
+    found = write_table(spark, components_of(spark, docs), "components")
+    out = broadcast_if_small(write_table(spark, found.where("component_id != doc_id").select(F.col("doc_id").alias("__d")).distinct(), "copies"))
+    kept = docs.join(out, docs["doc_id"] == out["__d"], "left_anti")
+    often = write_table(spark, found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias("__d")), "repeated")
+    if often.isEmpty():
+        return kept
+    often = broadcast_if_small(often)
+    return kept.join(often, kept["doc_id"] == often["__d"], "left_anti").unionByName(kept.join(often, kept["doc_id"] == often["__d"], "left_semi").dropDuplicates(["doc_id"]))
