@@ -1,0 +1,17 @@
+"""Audits of image collections on Spark."""
+
+from .schema import VERSION as __version__
+
+__all__ = ["ImageAudit", "Detector", "register_detector", "__version__"]
+
+
+def __getattr__(name: str):
+    if name == "ImageAudit":
+        from .plans.session import ImageAudit
+
+        return ImageAudit
+    if name in ("Detector", "register_detector"):
+        from .operators import registry
+
+        return getattr(registry, name)
+    raise AttributeError(name)
