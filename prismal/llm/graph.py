@@ -2,21 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import write_table
 
+#: So many edges at most are joined in one task; more take distributed rounds.
+SMALL_EDGES = 500_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all batches."""
+    up: dict = {}
+
+    def root(x):
+        while (y := up[x]) != x:
+            up[x] = x = up[y]
+        return x
+
+    kind = None
+    for b in batches:
+        kind = b.column(0).type
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = root(up.setdefault(x, x)), root(up.setdefault(y, y))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    if up:
+        yield pa.record_batch([pa.array(list(up), kind), pa.array([root(x) for x in list(up)], kind)], names=["node", "component"])
+
+
+def components_small(edges: DataFrame) -> DataFrame:
+    """``components`` of a table whose size was checked, in one task."""
+    kind = edges.schema[0].dataType.simpleString()
+    return edges.coalesce(1).mapInArrow(_joined, f"node {kind}, component {kind}")
+
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, small: int = 0) -> DataFrame:
     """(node, component) for the two-column ``edges``; component is the least node reachable.
 
     Each round takes the least label among neighbours and then the label's own
     label, so chains halve.  Rounds are written to the shared folder.  Nulls and
-    loops link nothing; a node without a link to another has no row.
+    loops link nothing; a node without a link to another has no row.  With ``small``,
+    a table of at most so many edges (it is counted) is joined in one task; the
+    result is the same.
     """
     a, b = edges.columns
     one = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b")
+    if small and one.limit(small + 1).count() <= small:
+        return write_table(spark, components_small(one), "components")
     links = write_table(spark, one.union(one.select("b", "a")).groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b"), "links")
     labels = write_table(spark, links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import SMALL_EDGES, components
 from .shared import broadcast_if_small, pick, write_table
 from .textkit import chunks, mix, windows
 
@@ -32,12 +32,12 @@ WORDS = 5
 SHARE, WHOLE = 75, 100
 #: Slots of the sketch that tells crowded shingles; 64 MB in a worker.
 SLOT_BITS = 24
-#: A task reports slots that have so many texts more than the mean.
-CROWD = 12
+#: A task reports slots that have so many texts and deviations more than the mean.
+CROWD, DEVIATIONS = 1,4
 #: Up to so many groups of a shingle are paired at once; more begin with leaders,
 #: so many in each round.
 PAIRED = 8
-LEADERS = (2, 4, 8)
+LEADERS = (4, 8)
 #: Bits of the filter that tells which sets verification needs.
 FILTER_BITS = 1 << 26
 
@@ -363,6 +363,12 @@ def _similar(spark: SparkSession, pairs: DataFrame, made: DataFrame, name: str)
     return write_table(spark, both.mapInArrow(similar, "a long, b long"), name)
 
 
+def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The (a, b) of ``pairs`` that are similar. Histograms decide whose sets are made and moved."""
+    able = _possible(spark, pairs, sets, f"{name}-possible")
+    return _similar(spark, able, _sets_of(spark, docs, able, f"{name}-sets"), f"{name}-links")
+
+
 def components_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text).
 
@@ -394,25 +400,25 @@ def components_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # Distinct sets of one group: each against the head.
     many = write_table(spark, sets.select("grp", "rep").join(heads.where("sets > 1").drop("sets"), "grp"), "shared-prefix")
     inner = many.where("rep != head").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b"))
-    able = _possible(spark, small.union(inner), sets, "small-possible")
-    wanted = able.union(crowded.select(F.col("grp").alias("a"), F.col("grp").alias("b")).distinct()).union(many.select("head", "rep"))
-    made = _sets_of(spark, base, wanted, "needed-sets")
-
-    links = _similar(spark, able, made, "links-0")
-    nodes = components(spark, links)
-    label = lambda df, c: df.join(nodes.withColumnsRenamed({"node": c, "component": f"{c}_in"}), c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
-    runs = lambda: by_token(label(crowded, "grp").select("token", "grp", "place", "grp_in"))
+    stars = lambda k, df: by_token(df).mapInArrow(_star_pairs(LEADERS[k], k), _PAIRS).select("a", "b")
     some = not crowded.isEmpty()
-    for k, leaders in enumerate(LEADERS if some else ()):
-        star = write_table(spark, runs().mapInArrow(_star_pairs(leaders, k), _PAIRS).select("a", "b").distinct(), f"star-{k}")
-        links = links.union(_similar(spark, _possible(spark, star, sets, f"star-possible-{k}"), made, f"links-{k + 1}"))
-        nodes = components(spark, links)
-
-    # What is still apart: groups of crowded shingles, and sets of a group that the head does not stand for.
+    first = small.union(inner)
+    if some:
+        first = first.union(stars(0, crowded.withColumn("component", F.col("grp"))))
+    links = _verified(spark, base, write_table(spark, first.distinct(), "first-pairs"), sets, "first")
+    nodes = components(spark, links, SMALL_EDGES)
+    label = lambda df, c: df.join(nodes.withColumnsRenamed({"node": c, "component": f"{c}_in"}), c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
+    runs = lambda: label(crowded, "grp").select("token", "grp", "place", "grp_in")
     if some:
-        rest = write_table(spark, runs().mapInArrow(_cross_pairs, _PAIRS).select("a", "b").distinct(), "cross")
-        links = links.union(_similar(spark, _possible(spark, rest, sets, "cross-possible"), made, "links-cross"))
-        nodes = components(spark, links)
+        for k in range(1, len(LEADERS)):
+            pairs = write_table(spark, stars(k, runs()).distinct(), f"star-{k}-pairs")
+            links = links.union(_verified(spark, base, pairs, sets, f"star-{k}"))
+            nodes = components(spark, links, SMALL_EDGES)
+        # What is still apart in the runs of crowded shingles.
+        pairs = write_table(spark, by_token(runs()).mapInArrow(_cross_pairs, _PAIRS).select("a", "b").distinct(), "cross-pairs")
+        links = links.union(_verified(spark, base, pairs, sets, "cross"))
+        nodes = components(spark, links, SMALL_EDGES)
+    # Sets of a group that its head does not stand for.
     loose = write_table(spark, label(label(many.withColumnsRenamed({"head": "a", "rep": "b"}), "a"), "b").where("a_in != b_in").select(F.col("a").alias("head")).distinct(), "loose")
     if not loose.isEmpty():
         wide = many.join(loose, "head", "left_semi").select("head", "rep")
@@ -424,9 +430,8 @@ def components_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
         inside = wide.join(wide.withColumnRenamed("rep", "other"), "head").where("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
         both = other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(inside).distinct()
         rest = write_table(spark, label(label(both, "a"), "b").where("a_in != b_in").select("a", "b"), "expanded")
-        able = _possible(spark, rest, sets, "expanded-possible")
-        links = links.union(_similar(spark, able, _sets_of(spark, base, able, "expanded-sets"), "links-expanded"))
-        nodes = components(spark, links)
+        links = links.union(_verified(spark, base, rest, sets, "expanded"))
+        nodes = components(spark, links, SMALL_EDGES)
 
     named = sets.join(nodes.withColumnRenamed("node", "rep"), "rep", "left").select("grp", "n", "signature", F.coalesce("component", "rep").alias("set_in"))
     out = members.join(named, ["grp", "n", "signature"], "left")
