@@ -9,6 +9,8 @@ import uuid
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import groupby
+from os.path import commonprefix
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,9 @@ from ..operators import duplicates, properties, registry, summary
 from ..schema import COLUMNS, DEFAULTS, DUPLICATE_TYPES, PROPERTY, VERSION, flag_column, merged_params, score_column
 from ..sources import build
 
+#: Titles are set in letters of 7 points.
+_LETTERS_PER_INCH = 72 / 7
+
 
 @dataclass
 class ReportConfig:
@@ -84,10 +89,11 @@ class ImageAudit:
             self._properties = self._stored(self._properties.join(got.drop("ord", "name"), "image_id"))
         self._have |= set(props) | set(names)
 
-    def find_issues(self, issue_types: dict[str, dict[str, Any]] | None = None, verbose: bool | None = None) -> None:
+    def find_issues(self, issue_types: dict[str, dict[str, Any]] | None = None, n_jobs: int | None = None, verbose: bool | None = None) -> None:
         """Find the given types, with parameters by type; all default ones if none are given.
 
         Properties that an earlier call computed are scored again, not computed again.
+        ``n_jobs`` changes nothing: Spark deals out the work.
         """
         request = dict(issue_types) if issue_types else {t: {} for t in DEFAULTS}
         for t in request:
@@ -196,7 +202,7 @@ class ImageAudit:
     def _empty_view(self) -> DataFrame:
         return self.images.select(F.lit("").alias("issue_type"), F.lit(0).alias("rank"), "image_id", F.lit(0.0).alias("score"), F.lit("").alias("title"), "image").limit(0)
 
-    def visualize(self, image_files: Sequence[str] | None = None, indices: Sequence[Any] | None = None, issue_types: Sequence[str] | None = None, num_images: int = 4, show_id: bool = False, seed: int | None = None) -> DataFrame:
+    def visualize(self, image_files: Sequence[str] | None = None, indices: Sequence[Any] | None = None, issue_types: Sequence[str] | None = None, num_images: int = 4, cell_size: tuple[float, float] = (2, 2), show_id: bool = False, seed: int | None = None) -> DataFrame:
         """Images to look at: issue_type, rank, image_id, score, title, image.
 
         By issue type (the worst, or of duplicates the largest sets), else by path,
@@ -212,8 +218,12 @@ class ImageAudit:
             for t in issue_types:
                 if t in DUPLICATE_TYPES:
                     top = duplicates.members(self._properties, self.duplicate_sets(t).orderBy(F.desc("set_size"), "first_ord").limit(num_images), self._hashes[t])
-                    for n, r in enumerate(top.orderBy(F.desc("set_size"), "set_id", "ord").limit(num_images * 100).collect()):
-                        picks.append((t, n + 1, r["image_id"], 1.0 / r["set_size"], f"set: {r['set_id']}"))
+                    named = top.join(self._properties.select("image_id", "name"), "image_id")
+                    shown = named.orderBy(F.desc("set_size"), "set_id", "ord").limit(num_images * 100).collect()
+                    for _, members in groupby(shown, key=lambda r: r["set_id"]):
+                        rows = list(members)
+                        names = truncated([r["name"] for r in rows], cell_size[0]) if len(rows) > 1 else [r["name"] for r in rows]
+                        picks += [(t, len(picks) + k + 1, r["image_id"], 1.0 / r["set_size"], name) for k, (r, name) in enumerate(zip(rows, names, strict=True))]
         elif image_files is not None:
             if not list(image_files):
                 raise ValueError("image_files list is empty")
@@ -230,7 +240,9 @@ class ImageAudit:
         wanted = F.broadcast(self.spark.createDataFrame(picks, f"issue_type string, rank int, image_id {kind}, score double, note string"))
         rows = self.images.join(wanted, "image_id")
         size = F.when(F.col("issue_type") == "odd_size", F.concat(F.lit("size: ("), F.col("image.width"), F.lit(", "), F.col("image.height"), F.lit(")")))
-        title = F.concat_ws("\n", F.when(F.lit(show_id), F.concat(F.lit("id: "), F.col("image_id").cast("string"))), F.when(F.col("issue_type") == "", F.col("name")).otherwise(F.concat(F.lit("score: "), F.format_string("%.4f", "score"))), size, "note")
+        score = F.when(F.col("note").isNull() & F.col("score").isNotNull(), F.format_string("score : %.4f", "score"))
+        name = F.coalesce("note", F.when(F.col("score").isNull(), F.col("name")))
+        title = F.concat_ws("\n", name, score, F.when(F.lit(show_id), F.concat(F.lit("id : "), F.col("image_id").cast("string"))), size)
         return rows.select("issue_type", "rank", "image_id", "score", title.alias("title"), "image").orderBy("issue_type", "rank")
 
     # Persistence
@@ -285,13 +297,10 @@ def markdown(rows: list[dict[str, Any]]) -> str:
     return "\n".join([line(head), "|" + "|".join("-" * (w + 2) for w in width) + "|", *map(line, body)])
 
 
-def truncated(titles: Sequence[str], width: int) -> list[str]:
-    """Titles of at most ``width`` characters and an ellipsis; what they share in front is what goes."""
-    titles = list(titles)
-    if len(titles) > 1 and any(len(t) > width for t in titles):
-        shared = 0
-        while all(len(t) > shared for t in titles) and len({t[shared] for t in titles}) == 1:
-            shared += 1
-        if shared > width:
-            return ["..." + t[-width:] if len(t) > width else t for t in titles]
-    return [t[:width] + "..." if len(t) > width else t for t in titles]
+def truncated(titles: Sequence[str], cell_width: float = 2.0) -> list[str]:
+    """Titles that fit a cell of ``cell_width`` inches; of what all share, the longer end is cut."""
+    room = math.ceil(cell_width * _LETTERS_PER_INCH) - 4
+    heads, tails = [t[:room] for t in titles], [t[::-1][:room] for t in titles]
+    from_front = len(commonprefix(heads)) > len(commonprefix(tails))
+    short = lambda t: "..." + t[-room:] if from_front else t[:room] + "..."
+    return [t if len(t) < cell_width * _LETTERS_PER_INCH else short(t) for t in titles]

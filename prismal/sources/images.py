@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.decode import decode
 from ..schema import EXTENSIONS, IMAGE
 
 
@@ -80,25 +82,23 @@ def from_frame(df: DataFrame, image_key: str = "image", id_column: str | None =
 
 
 def _decode(raw: Column) -> Column:
-    """Encoded bytes to an image struct where Pillow can be imported; null otherwise."""
-
-    @F.udf(returnType=T._parse_datatype_string(IMAGE))
-    def decoded(data):
-        try:
-            import io
-
-            import numpy as np
-            from PIL import Image
-
-            with Image.open(io.BytesIO(bytes(data))) as im:
-                a = np.asarray(im if im.mode in ("L", "RGB", "RGBA") else im.convert("RGB"))
-        except Exception:
-            return None
-        a = a[:, :, None] if a.ndim == 2 else a[:, :, [2, 1, 0, *range(3, a.shape[2])]]
-        h, w, c = a.shape
-        return ("", h, w, c, {1: 0, 3: 16, 4: 24}[c], a.tobytes())
-
-    return decoded(raw)
+    """Encoded bytes to an image struct; null where they cannot be decoded."""
+
+    @F.pandas_udf(T._parse_datatype_string(IMAGE))
+    def decoded(column: pd.Series) -> pd.DataFrame:
+        names = ("origin", "height", "width", "nChannels", "mode", "data")
+        rows = []
+        for data in column:
+            a = None if data is None else decode(bytes(data))
+            if a is None:
+                rows.append((None, -1, -1, -1, -1, None))
+                continue
+            a = a[:, :, None] if a.ndim == 2 else a[:, :, [2, 1, 0, *range(3, a.shape[2])]]
+            h, w, c = a.shape
+            rows.append(("", h, w, c, {1: 0, 3: 16, 4: 24}[c], a.tobytes()))
+        return pd.DataFrame(rows, columns=names)
+
+    return _decoded(decoded(raw))
 
 
 def list_files(spark: SparkSession, path: str) -> list[str]:

@@ -51,7 +51,8 @@ def test_golden_folder(spark, tmp_path):
     assert audit.report(issue_types=["dark"], max_prevalence=0.01, verbosity=0).count() == 0
     with pytest.raises(ValueError):
         audit.report(verbosity=7)
-    assert audit.visualize(issue_types=["odd_size"], num_images=1, show_id=True).first()["title"].startswith("id: ")
+    assert audit.visualize(issue_types=["odd_size"], num_images=1, show_id=True).first()["title"].split("\n")[1].startswith("id : ")
+    assert audit.visualize(issue_types=["exact_duplicates"]).orderBy("rank").first()["title"] == "copy_1.png"
     assert audit.visualize(num_images=3, seed=1).count() == 3
     some = [r["image_id"] for r in audit.issues.limit(2).collect()]
     assert [r["image_id"] for r in audit.visualize(indices=some).collect()] == some
@@ -213,8 +214,10 @@ def test_custom_detector(spark, folder):
 
 def test_text_helpers():
     assert "N/A" in markdown([{"a": 1, "b": None}, {"a": 2, "b": 3.0}]) and markdown([]) == ""
-    assert truncated(["abc"], 5) == ["abc"] and truncated(["abcdef"], 3) == ["abc..."]
-    assert truncated(["/data/x/one", "/data/x/two"], 3) == ["...one", "...two"]
+    long = "/home/usr/proj/dev/product/dataset/images/image_000{}.img"
+    assert truncated([long.format(1), long.format(2)], 2) == ["...es/image_0001.img", "...es/image_0002.img"]
+    assert truncated(["image.jpeg", "image2.jpeg"], 2) == ["image.jpeg", "image2.jpeg"]
+    assert truncated(["/pictures/mount/image_0001.img", long.format(2)], 2) == ["/pictures/mount/i...", "/home/usr/proj/de..."]
 
 
 def test_score_stream(spark, folder):
@@ -230,3 +233,22 @@ def test_score_stream(spark, folder):
     assert property_stream(images, ["entropy"]).count() == 20
     with pytest.raises(ValueError):
         score_stream(stream, {"odd_size": {}})
+
+
+def test_encoded_bytes_and_image_stream(spark, folder):
+    from prismal.streaming import image_stream, score_stream
+
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(folder))
+    both = raw.select("path", F.struct(F.col("content").alias("bytes"), F.col("path")).alias("image"))
+    more = "path string, image struct<bytes: binary, path: string>"
+    both = both.union(spark.createDataFrame([("broken", (bytearray(b"x"), "p")), ("none", None)], more))
+    audit = ImageAudit(spark, frame=both, image_key="image", id_column="path", verbose=False)
+    audit.find_issues()
+    files = ImageAudit(spark, str(folder), verbose=False)
+    files.find_issues()
+    key = lambda a: sorted(tuple(r)[3:] for r in a.issues.where("dark_score is not null").collect())
+    assert key(audit) == key(files) and audit.issues.count() == 22
+    q = score_stream(image_stream(spark, str(folder)), {"dark": {}}).writeStream.format("memory").queryName("seen").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.sql("select * from seen where dark_score is not null").count() == 20
