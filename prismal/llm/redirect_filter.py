@@ -138,3 +138,27 @@ def rules_sql(rules: list[Rule], host: str, path: str) -> tuple[str, str]:
     fits = [f"({host} = {quote(r.host)} OR ends_with({host}, {quote('.' + r.host)})) AND starts_with({path}, {quote(r.path)})" for r in order]
     case = lambda what: reduce(lambda s, x: s + f" WHEN {x[0]} THEN {quote(what(x[1]))}", zip(fits, order, strict=True), "CASE") + " END"
     return case(lambda r: r.text), case(lambda r: r.verdict)
+
+
+def judge_sql(rules: list[Rule]) -> str:
+    """DuckDB SQL for ``judge`` on the table ``pages``."""
+    text, verdict = rules_sql(rules, "host", "path")
+    _, node_verdict = rules_sql(rules, "nhost", "npath")
+    host = lambda u: f"translate(regexp_extract(substr({u}, strpos({u}, '://') + 3), '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}')"
+    path = lambda u: f"regexp_extract(substr({u}, strpos({u}, '://') + 3), '^[^/?#]*([^?#]*)', 1)"
+    rest = lambda u: f"regexp_extract(substr({u}, strpos({u}, '://') + 3), '^[^/?#]*([^#]*)', 1)"
+    node = lambda u: f"CASE WHEN strpos({u}, '://') > 0 THEN {host(u)} || CASE WHEN {rest(u)} = '' THEN '/' ELSE {rest(u)} END END"
+    base = "regexp_extract(url, '^([^:]*://[^/?#]*)', 1)"
+    return rf"""WITH RECURSIVE u AS (SELECT page_id, url, html, CASE WHEN strpos(url, '://') > 0 THEN {host("url")} ELSE '' END AS host,
+  CASE WHEN strpos(url, '://') > 0 THEN {path("url")} ELSE '' END AS path, {node("url")} AS node FROM pages),
+t AS (SELECT url, path, node, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS target FROM u
+  UNION ALL SELECT url, path, node, regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)\bcontent\s*=\s*["''][^"''>]*\burl\s*=\s*([^"''\s>]+)', 1) FROM u),
+f AS (SELECT node, CASE WHEN strpos(target, '://') > 0 THEN target WHEN starts_with(target, '//') THEN 'http:' || target WHEN starts_with(target, '/') THEN {base} || target
+  ELSE {base} || regexp_extract(path || CASE WHEN path = '' THEN '/' ELSE '' END, '^(.*/)', 1) || target END AS target FROM t WHERE target <> ''),
+e AS (SELECT DISTINCT node AS a, {node("target")} AS b FROM f WHERE node IS NOT NULL),
+l AS (SELECT a, b FROM e WHERE b IS NOT NULL AND a <> b UNION SELECT b, a FROM e WHERE b IS NOT NULL AND a <> b),
+r AS (SELECT a AS node, a AS reach FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a),
+s AS (SELECT node, reach, regexp_extract(reach, '^([^/?#]*)', 1) AS nhost, regexp_extract(reach, '^[^/?#]*([^?#]*)', 1) AS npath FROM r),
+v AS (SELECT node, {node_verdict} AS says FROM s),
+c AS (SELECT node, bool_or(coalesce(says = 'block', false)) AND NOT bool_or(coalesce(says = 'allow', false)) AS bad FROM v GROUP BY node)
+SELECT page_id, host, path, {text} AS rule, coalesce({verdict}, CASE WHEN coalesce(bad, false) THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN c ON u.node = c.node"""

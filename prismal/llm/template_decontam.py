@@ -118,3 +118,30 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     found = matches(spark, docs, benchmark).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct()
     flagged = broadcast_if_small(write_table(spark, found, "contaminated"))
     return docs.join(flagged, docs["doc_id"].eqNullSafe(flagged["__d"]) & (F.xxhash64(docs["text"]) == flagged["__h"]), "left_anti")
+
+
+def contamination_sql() -> str:
+    """DuckDB SQL for doc_id, contaminated, n_windows, item_ids (comma-joined) on documents and benchmark."""
+    quoted = "'" + PUNCTUATION.replace("'", "''") + "'"
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    raw = f"list_filter(string_split_regex(translate(coalesce(text, ''), {quoted}, ''), '[ \\t-\\r]+'), lambda w: w <> '')"
+    canon = f"list_transform(raw, lambda w: CASE WHEN w >= '0' AND w < ':' THEN 'NUM' WHEN lower(w) <> w THEN 'NAME' WHEN w IN ({units}) THEN 'UNIT' ELSE w END)"
+    slot = "('NUM', 'NAME', 'UNIT')"
+    return f"""WITH i0 AS (SELECT item_id, {raw} AS raw FROM benchmark), i1 AS (SELECT item_id, raw, {canon} AS canon FROM i0 WHERE len(raw) > 0),
+i2 AS (SELECT canon, arg_min(raw, item_id) AS raw, min(item_id) AS item_id FROM i1 GROUP BY canon),
+i3 AS (SELECT item_id, raw, canon, least(len(raw), {WINDOW}) AS width, unnest(range(1, len(raw) - least(len(raw), {WINDOW}) + 2)) AS item_at FROM i2),
+i4 AS (SELECT item_id, width, item_at, raw[item_at : item_at + width - 1] AS item_raw, canon[item_at : item_at + width - 1] AS item_canon FROM i3),
+i5 AS (SELECT item_id, width, item_at, item_raw, item_canon, array_to_string(item_canon, chr(1)) AS k FROM i4 WHERE len(list_filter(item_canon, lambda w: w NOT IN {slot})) >= least({LITERALS}, width)),
+i6 AS (SELECT item_id, count(*) AS item_windows FROM i5 GROUP BY item_id),
+d0 AS (SELECT doc_id, md5(coalesce(text, '')) AS h, {raw} AS raw FROM documents), d1 AS (SELECT doc_id, h, raw, {canon} AS canon FROM d0),
+d2 AS (SELECT doc_id, h, raw, canon, width, unnest(range(1, greatest(len(raw) - width + 2, 1))) AS doc_at FROM d1, (SELECT DISTINCT width FROM i5) AS w),
+d3 AS (SELECT doc_id, h, width, doc_at, raw[doc_at : doc_at + width - 1] AS doc_raw, array_to_string(canon[doc_at : doc_at + width - 1], chr(1)) AS k FROM d2),
+m AS (SELECT d3.doc_id, h, i5.item_id, doc_at - item_at AS shift, item_at, item_raw, item_canon, doc_raw FROM d3 JOIN i5 ON d3.width = i5.width AND d3.k = i5.k),
+e0 AS (SELECT doc_id, h, item_id, shift, count(DISTINCT item_at) AS n_windows FROM m GROUP BY doc_id, h, item_id, shift),
+e AS (SELECT e0.doc_id, h, e0.item_id, shift, n_windows FROM e0 JOIN i6 ON e0.item_id = i6.item_id WHERE n_windows >= {MATCHES} OR n_windows >= item_windows),
+s0 AS (SELECT doc_id, h, item_id, shift, unnest(item_canon) AS kind, unnest(item_raw) AS was, unnest(doc_raw) AS now FROM m),
+s1 AS (SELECT doc_id, h, item_id, shift, kind, was, CASE WHEN min(now) <> max(now) THEN 1 ELSE 0 END AS torn FROM s0 WHERE kind IN {slot} GROUP BY doc_id, h, item_id, shift, kind, was),
+s AS (SELECT doc_id, h, item_id, shift, count(*) AS slots, sum(torn) AS torn FROM s1 GROUP BY doc_id, h, item_id, shift),
+g AS (SELECT e.doc_id, e.h, e.item_id, n_windows FROM e LEFT JOIN s ON e.doc_id = s.doc_id AND e.h = s.h AND e.item_id = s.item_id AND e.shift = s.shift WHERE torn IS NULL OR (2 * torn <= slots AND torn <= 1)),
+f AS (SELECT doc_id, h, CAST(sum(n_windows) AS BIGINT) AS n_windows, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS item_ids FROM g GROUP BY doc_id, h)
+SELECT d0.doc_id, f.h IS NOT NULL AS contaminated, coalesce(n_windows, 0) AS n_windows, coalesce(item_ids, '') AS item_ids FROM d0 LEFT JOIN f ON d0.doc_id = f.doc_id AND d0.h = f.h"""
