@@ -64,15 +64,13 @@ def crowded_slots(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, total = np.zeros(1 << SLOT_BITS, dtype=np.uint32), 0
-        held: list[np.ndarray] = []
         for b in batches:
-            held = [slot_of(s) for _, s in shingle_sets(b.column(0).to_pylist())]
-            if held:
-                slots = np.concatenate(held)
-                total += len(slots)
-                count += np.bincount(slots, minlength=1 << SLOT_BITS).astype(np.uint32)
+            for _, s in shingle_sets(b.column(0).to_pylist()):
+                slots, n = np.unique(slot_of(s), return_counts=True)
+                count[slots] += n.astype(np.uint32)
+                total += len(s)
         mean = total / (1 << SLOT_BITS)
-        slots = np.flatnonzero(count > mean + 8 * mean**0.5 + CROWD)
+        slots = np.flatnonzero(count > mean + DEVIATIONS * mean**0.5 + CROWD)
         yield pa.record_batch([pa.array(slots, pa.int32()), pa.array(count[slots], pa.int64())], names=["slot", "n"])
 
     got = pick(docs, ["text"]).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # 2 ** SLOT_BITS rows at most
