@@ -1,9 +1,9 @@
-"""Byte-level BPE over whole texts, with the pieces between blanks remembered.
+"""Byte-level BPE over whole texts, with the pieces between blanks and newlines remembered.
 
-A text is cut at every blank that stands alone; the pre-tokenizer never makes a
-token across such a place, so each piece (with its blank) has ids of its own and
-common pieces are looked up instead of encoded again.  Texts in which a blank
-touches white space on both sides are given to the library whole.
+A text is cut into pieces across which the pre-tokenizer never makes a token: words
+with the single blank or newline before them, and what longer runs of these have
+besides their last one.  Common pieces are looked up instead of encoded again.
+Texts with other white space are given to the library whole.
 """
 
 from __future__ import annotations
@@ -17,15 +17,21 @@ import struct
 
 import numpy as np
 
-#: Pieces remembered in a worker (some 300 MB at most), and the longest that is remembered.
-CACHE_PIECES = 1_500_000
+#: Pieces remembered in a worker (some 150 MB at most), and the longest that is remembered.
+CACHE_PIECES = 700_000
 CACHE_CHARS = 24
 
-#: A blank between white space: there a cut would change the tokens.
-_AMBIGUOUS = re.compile(r"\s \s")
+#: Texts with other white space than blanks and newlines are not cut.
+_EXOTIC = [c for c in map(chr, range(0x3001)) if (c.isspace() and c not in " \n") or c in "\x00\x01"]
+_RUN = re.compile(r"([ \n]{2,}|^[ \n]|[ \n]$)")
 
-#: Letters that any Unicode version has as letters; such a piece is one pre-token.
-_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Keys of pieces: ``word`` is a word with its blank, ``\nword`` one with its newline;
+#: these go before a word with nothing before it and before a run of white space.
+_BARE, _SPACE = "\x00", "\x01"
+
+#: A word of letters that any Unicode version has as letters, and the marks behind it:
+#: each is one pre-token.
+_WORD = re.compile(r"([\x00\n]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 
 #: How byte-level files write the bytes of non-ASCII letters (all are 0x80 or more),
 #: and the character that stands for a newline, which no word has.
@@ -39,13 +45,45 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def cut(text: str) -> list[str] | None:
+    """Keys of the pieces of ``text``; null if it must be taken whole."""
+    for c in _EXOTIC:
+        if c in text:
+            return None
+    if not (text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text):
+        flat = text.replace("\n", " \n").split(" ")
+        flat[0] = _BARE + flat[0]
+        return flat
+    parts, out = _RUN.split(text), []
+    if parts[0]:
+        out = parts[0].replace("\n", " \n").split(" ")
+        out[0] = _BARE + out[0]
+    for run, words in zip(parts[1::2], parts[2::2], strict=True):
+        if not words:  # the end of the text
+            out.append(_SPACE + run)
+            continue
+        if len(run) > 1:
+            out.append(_SPACE + run[:-1])
+        if run[-1] == "\n":
+            words = "\n" + words
+        flat = words.replace("\n", " \n").split(" ")
+        out += flat[1:] if words[0] == "\n" else flat
+    return out
+
+
+def written(key: str) -> str:
+    """The text that a key stands for."""
+    return key[1:] if key[0] in (_BARE, _SPACE) else key if key[0] == "\n" else " " + key
+
+
 class PieceEncoder:
     """Texts to ids as the library gives them without added begin or end tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.most = most
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -67,6 +105,8 @@ class PieceEncoder:
             self.model_only = Tokenizer.from_file(path)
             self.model_only.pre_tokenizer = pre_tokenizers.Split(_BREAK, "isolated")
             self.break_id = self.tok.token_to_id(_BREAK)
+            self.newline = self._whole("\n")
+            self.marks: dict[str, bytes] = {}
         self._special_hint = [s for s in self.special]
         self.pieces: dict[str, bytes] = {}
 
@@ -74,37 +114,54 @@ class PieceEncoder:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of each piece with its blank; words of plain letters go through the model in one string."""
-        words = [m for m in missing if _LETTERS.fullmatch(m)]
+        """Ids of each key; words of plain letters go through the model in one string, marks behind them are added."""
         new: dict[str, bytes] = {}
+        marked, rest, words = [], [], set()
+        for key in missing:
+            m = _WORD.fullmatch(key)
+            if m is None:
+                rest.append(key)
+                continue
+            word, marks = m.groups()
+            if word not in self.pieces:
+                words.add(word)
+            if marks:
+                marked.append((key, word, marks))
         if words:
-            text = _BREAK.join(["\u0120" + (m if m.isascii() else m.encode().decode("latin-1").translate(_BYTE_CHARS)) for m in words])
+            order = list(words)
+            text = _BREAK.join([_mapped(w) for w in order])
             ids = np.asarray(self.model_only.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             raw, at = ids.tobytes(), 0
-            for m, end in zip(words, [*(np.flatnonzero(ids == self.break_id) * 4).tolist(), len(raw)], strict=True):
-                new[m] = raw[at:end]
+            for w, end in zip(order, [*(np.flatnonzero(ids == self.break_id) * 4).tolist(), len(raw)], strict=True):
+                new[w] = self.newline + raw[at:end] if w[0] == "\n" else raw[at:end]
                 at = end + 4
-        if len(words) < len(missing):
-            rest = [m for m in missing if m not in new]
-            for m, e in zip(rest, self.tok.encode_batch_fast([" " + m for m in rest], add_special_tokens=False), strict=True):
-                new[m] = struct.pack(f"<{len(e)}I", *e.ids)
+        for key, word, marks in marked:
+            tail = self.marks.get(marks)
+            if tail is None:
+                tail = self._whole(marks)
+                if len(self.marks) < 10_000:
+                    self.marks[marks] = tail
+            new[key] = (self.pieces.get(word) or new[word]) + tail
+        if rest:
+            for key, e in zip(rest, self.tok.encode_batch_fast(list(map(written, rest)), add_special_tokens=False), strict=True):
+                new[key] = struct.pack(f"<{len(e)}I", *e.ids)
         return new
 
     def _segment(self, text: str) -> bytes:
         if not text:
             return b""
-        if _AMBIGUOUS.search(text) or text.startswith("  ") or text.endswith("  "):
+        keys = cut(text)
+        if keys is None:
             return self._whole(text)
-        first, *rest = text.split(" ")
-        pieces = self.pieces
-        found = list(map(pieces.get, rest))
+        found = list(map(self.pieces.get, keys))
         if None in found:
-            new = self._learn({rest[i] for i, ids in enumerate(found) if ids is None})
-            found = [new[m] if ids is None else ids for m, ids in zip(rest, found, strict=True)]
-            if len(pieces) < CACHE_PIECES:  # full: what came first is what is frequent
-                pieces.update({m: v for m, v in new.items() if len(m) <= CACHE_CHARS})
-        tail = b"".join(found)
-        return self._whole(first) + tail if first else tail
+            gaps = [i for i, ids in enumerate(found) if ids is None]
+            new = self._learn({keys[i] for i in gaps})
+            for i in gaps:
+                found[i] = new[keys[i]]
+            if len(self.pieces) < self.most:  # full: what came first is what is frequent
+                self.pieces.update({k: v for k, v in new.items() if len(k) <= CACHE_CHARS})
+        return b"".join(found)
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of ``text``; null is empty."""
@@ -120,6 +177,12 @@ class PieceEncoder:
         return b"".join(out)
 
 
+def _mapped(word: str) -> str:
+    """A word's key as the model's characters."""
+    text = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+    return text[1:] if word[0] in (_BARE, "\n") else "\u0120" + text
+
+
 def merge_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     """Merges that BPE makes on ``symbols``: a heap of adjacent pairs over a linked list.
 
@@ -192,18 +255,18 @@ class PieceCounter:
     def _segment(self, text: str) -> int:
         if not text:
             return 0
-        if _AMBIGUOUS.search(text) or text.startswith("  ") or text.endswith("  "):
+        keys = cut(text)
+        if keys is None:
             return self._count(text)
-        first, *rest = text.split(" ")
-        pieces = self.pieces
-        try:
-            total = sum(map(pieces.__getitem__, rest))
-        except KeyError:
-            new = {m: self._count(" " + m) for m in set(rest) if m not in pieces}
-            total = sum([pieces[m] if m in pieces else new[m] for m in rest])
-            if len(pieces) < CACHE_PIECES:
-                pieces.update({m: v for m, v in new.items() if len(m) <= CACHE_CHARS})
-        return total + (self._count(first) if first else 0)
+        found = list(map(self.pieces.get, keys))
+        if None in found:
+            gaps = [i for i, n in enumerate(found) if n is None]
+            new = {k: self._count(written(k)) for k in {keys[i] for i in gaps}}
+            for i in gaps:
+                found[i] = new[keys[i]]
+            if len(self.pieces) < CACHE_PIECES:
+                self.pieces.update({k: n for k, n in new.items() if len(k) <= CACHE_CHARS})
+        return sum(found)
 
     def count(self, text: str | None) -> int:
         """Tokens of ``text``; null is empty. A special string counts one."""
@@ -215,12 +278,18 @@ class PieceCounter:
 
 
 @functools.cache
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for a worker process."""
-    return PieceEncoder(path)
+def encoder(path: str, most: int = CACHE_PIECES) -> PieceEncoder:
+    """One encoder for a worker process; it remembers ``most`` pieces."""
+    return PieceEncoder(path, most)
 
 
 @functools.cache
 def counter(path: str) -> PieceCounter:
     """One counter for a worker process."""
     return PieceCounter(path)
+
+
+def forget() -> None:
+    """Give back the memory of remembered pieces; operators that need it themselves call this in their tasks."""
+    encoder.cache_clear()
+    counter.cache_clear()
