@@ -5,12 +5,12 @@ A store is a folder that holds
 * ``codes``: one row for each id that occurs: ``id``, ``bits`` (its code length).
   The canonical codes follow from the lengths: ids sorted by (bits, id) get rising
   codes.
-* ``blocks``: independent blocks in ascending doc_id order, by (part, block).
+* ``blocks``: independent blocks in ascending doc_id order, by (part, first), where
+  ``first`` counts the ids of the part before the block.
   ``payload`` is the bit stream, most significant bit first, in big-endian 32-bit
   words; ``checkpoints`` has the bit offset of every ``STRIDE``-th id (little-endian
   unsigned 32-bit), so a block can be entered there and many places be decoded at
-  once; ``doc_ids`` and ``doc_tokens`` list its documents; ``first`` counts the
-  ids of the part before the block.
+  once; ``doc_ids`` and ``doc_tokens`` list its documents.
 
 Both are written by Spark's committers, so a store can lie in any file system.
 """
@@ -27,18 +27,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .shared import pick, scratch_path
+from .shared import pick, scratch_path, write_table
 
 END_ID = 0
 #: Longest code; a decoding table has 2 ** MAX_BITS entries.
 MAX_BITS = 18
 STRIDE = 64
+#: Pieces a worker remembers while it tokenises (some 300 MB at most).
+CACHE_PIECES = 1_500_000
 #: A block is closed once it holds so many ids.
 BLOCK_IDS = 1 << 16
 
-_BLOCKS = "part int, block int, first long, n_ids long, doc_ids array<long>, doc_tokens array<long>, checkpoints binary, payload binary"
+_BLOCKS = "part int, first long, n_ids long, doc_ids array<long>, doc_tokens array<long>, checkpoints binary, payload binary"
 _BLOCK_TYPES = pa.schema(
-    [("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("checkpoints", pa.binary()), ("payload", pa.binary())]
+    [("part", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("checkpoints", pa.binary()), ("payload", pa.binary())]
 )
 
 
@@ -127,25 +129,64 @@ def decode_block(n_ids: int, checkpoints: bytes, payload: bytes, table: tuple[np
     return out.reshape(-1)[:n_ids]
 
 
-def id_counts(docs: DataFrame, path: str, end_id: int = END_ID) -> np.ndarray:
-    """How often each id occurs in all texts, the end ids included; as long as the vocabulary."""
+def _ordered_ids(spark: SparkSession, docs: DataFrame, path: str, end_id: int, partitions: int | None) -> DataFrame:
+    """part, first, doc_id, ids of every row, written in ascending doc_id order, part after part.
+
+    ``first`` counts the ids of the part before the document.
+
+    Ids take two bytes where the vocabulary allows it, as planes of low and high
+    bytes, which the table's codec compresses better; else four.
+    """
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["doc_id", F.xxhash64("text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end, part, at = bpe.encoder(path, CACHE_PIECES).encode, end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
+        for b in batches:
+            raw = [_narrow(encode(t) + end) for t in b.column(1).to_pylist()]
+            size = np.array([(len(r) - 1) // r[0] for r in raw], dtype=np.int64)
+            ends = at + np.cumsum(size)
+            yield pa.record_batch([pa.array(np.full(len(raw), part, dtype=np.int32)), pa.array(ends - size), b.column(0), pa.array(raw, pa.binary())], names=["part", "first", "doc_id", "ids"])
+            at = int(ends[-1]) if len(raw) else at
+
+    dealt = pick(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return write_table(spark, dealt.mapInArrow(run, "part int, first long, doc_id long, ids binary"), "ids")
+
+
+def _narrow(raw: bytes) -> bytes:
+    """One byte that tells the width, then the ids."""
+    ids = np.frombuffer(raw, "<u4")
+    if ids.max() < 1 << 16:
+        return b"\x02" + (ids & 255).astype(np.uint8).tobytes() + (ids >> 8).astype(np.uint8).tobytes()
+    return b"\x04" + raw
+
+
+def _wide(data: bytes) -> np.ndarray:
+    if data[0] == 2:
+        n = len(data) // 2
+        return np.frombuffer(data, np.uint8, n, 1).astype("<u4") | (np.frombuffer(data, np.uint8, n, 1 + n).astype("<u4") << 8)
+    return np.frombuffer(data, "<u4", offset=1)
+
+
+def id_counts(ids: DataFrame) -> np.ndarray:
+    """How often each id occurs in the column ``ids`` of the written table; as long as the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = bpe.encoder(path).encode, np.zeros(1 << 16, dtype=np.int64)
+        total = np.zeros(1 << 16, dtype=np.int64)
         for b in batches:
-            raw = b"".join(map(encode, b.column(0).to_pylist()))
-            got = np.bincount(np.frombuffer(raw, "<u4"))
+            if not b.num_rows:
+                continue
+            got = np.bincount(np.concatenate(list(map(_wide, b.column(0).to_pylist()))))
             if len(got) > len(total):
                 total = np.append(total, np.zeros(len(got) - len(total), dtype=np.int64))
             total[: len(got)] += got
-            total[end_id] += b.num_rows
-        ids = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
-
-    rows = pick(docs, ["text"]).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    ids, n = rows["id"].to_numpy(), rows["n"].to_numpy()
-    counts = np.zeros(int(ids.max(initial=end_id)) + 1, dtype=np.int64)
-    counts[ids] = n
+        seen = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
+
+    rows = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row for each id
+    seen, n = rows["id"].to_numpy(), rows["n"].to_numpy()
+    counts = np.zeros(int(seen.max(initial=END_ID)) + 1, dtype=np.int64)
+    counts[seen] = n
     return counts
 
 
@@ -157,43 +198,46 @@ def write_store(spark: SparkSession, docs: DataFrame, folder: str, path: str, en
     doc_id order, nulls first, repeated rows each written, equal doc_ids by the
     hash of their text.  An empty table gives a store without blocks.
 
-    Two passes: one counts ids (at most a row for each id and task is shuffled),
-    one range-partitions the texts by doc_id and encodes them; no text is collected.
+    The texts are range-partitioned by doc_id and tokenised once; the ids are written
+    in order, counted (at most a row for each id and task is shuffled) and coded
+    where they lie.  No text is collected.
     """
-    lengths = code_lengths(id_counts(docs, path, end_id))
+    ids = _ordered_ids(spark, docs, path, end_id, partitions)
+    lengths = code_lengths(id_counts(ids))
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id int, bits int").coalesce(1).write.parquet(f"{folder}/codes")
     shared = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (lens, codes), encode, end = shared.value, bpe.encoder(path).encode, end_id.to_bytes(4, "little")
-        part, block, first = TaskContext.get().partitionId(), 0, 0
+        """Blocks of runs of documents of one part."""
+        lens, codes = shared.value
         names: list = []
-        raws: list[bytes] = []
-        held = 0
+        raws: list[np.ndarray] = []
+        held, part, at = 0, -1, 0
 
         def close() -> pa.RecordBatch:
-            nonlocal block, first, names, raws, held
-            ids = np.frombuffer(b"".join(raws), "<u4")
-            checkpoints, payload = encode_block(ids, codes, lens)
-            row = [[part], [block], [first], [len(ids)], [names], [[len(r) // 4 for r in raws]], [checkpoints], [payload]]
-            block, first, names, raws, held = block + 1, first + len(ids), [], [], 0
+            nonlocal names, raws, held
+            all_ids = np.concatenate(raws)
+            checkpoints, payload = encode_block(all_ids, codes, lens)
+            row = [[part], [at], [len(all_ids)], [names], [[len(r) for r in raws]], [checkpoints], [payload]]
+            names, raws, held = [], [], 0
             return pa.record_batch([pa.array(v, t) for v, t in zip(row, _BLOCK_TYPES.types, strict=True)], schema=_BLOCK_TYPES)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for p, k, doc_id, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if names and p != part:
+                    yield close()
+                if not names:
+                    part, at = p, k
                 names.append(doc_id)
-                raws.append(encode(text) + end)
-                held += len(raws[-1]) // 4
+                raws.append(_wide(data))
+                held += len(raws[-1])
                 if held >= BLOCK_IDS:
                     yield close()
         if names:
             yield close()
 
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["doc_id", F.xxhash64("text")]
-    dealt = pick(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    dealt.mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    ids.mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
@@ -208,7 +252,6 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     for p in sorted(sizes):
         before[p] = total
         total += sizes[p]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decoding_table(lengths)
         for b in batches:
