@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .graph import SMALL_EDGES, components
 from .shared import broadcast_if_small, pick, write_table
 from .textkit import chunks, mix, windows
@@ -30,7 +31,7 @@ from .textkit import chunks, mix, windows
 WORDS = 5
 #: Similarity as a fraction: 75 of 100.
 SHARE, WHOLE = 75, 100
-#: Slots of the sketch that tells crowded shingles; 64 MB in a worker.
+#: Slots of the sketch that tells crowded shingles; 32 MB in a worker.
 SLOT_BITS = 24
 #: A task reports slots that have so many texts and deviations more than the mean.
 CROWD, DEVIATIONS = 1,4
@@ -63,11 +64,12 @@ def crowded_slots(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(slots, class) of slots that hold many shingles; any outcome orders right, a good one pairs less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, total = np.zeros(1 << SLOT_BITS, dtype=np.uint32), 0
+        bpe.forget()
+        count, total = np.zeros(1 << SLOT_BITS, dtype=np.uint16), 0  # stops at 65,535
         for b in batches:
             for _, s in shingle_sets(b.column(0).to_pylist()):
                 slots, n = np.unique(slot_of(s), return_counts=True)
-                count[slots] += n.astype(np.uint32)
+                count[slots] = np.minimum(count[slots].astype(np.int64) + n, 65_535)
                 total += len(s)
         mean = total / (1 << SLOT_BITS)
         slots = np.flatnonzero(count > mean + DEVIATIONS * mean**0.5 + CROWD)
@@ -113,6 +115,7 @@ def _describe(crowd) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     """Rows of _ROWS for the texts of a batch; n is 0 without a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         slots, classes = crowd.value
         rank = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
         rank[slots] = classes
