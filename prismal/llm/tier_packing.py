@@ -100,7 +100,7 @@ class TierPacker:
         return out
 
 
-def pack(docs: DataFrame, path: str, windows: tuple[int, ...] = WINDOWS, step_tokens: int = STEP_TOKENS, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str, windows: tuple[int, ...] = WINDOWS, step_tokens: int = STEP_TOKENS, end_id: int = END_ID, memo: int = bpe.CACHE_PIECES) -> DataFrame:
     """Pack every text of ``docs`` into sequences; one row for each piece of a document.
 
     A document is its ids by the tokenizer file at ``path`` followed by ``end_id``;
@@ -110,12 +110,14 @@ def pack(docs: DataFrame, path: str, windows: tuple[int, ...] = WINDOWS, step_to
     gapless and exactly a power of two long, so padding is 0.  Repeated rows are
     packed each; a null doc_id is kept; an empty table gives no rows.
 
+    ``memo`` bounds the pieces that a worker remembers: fewer take longer and less memory.
+
     The pass is narrow: partitions are packed on their own (ids carry the partition
     number), so there is no shuffle, and a lost task packs the same rows again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = bpe.encoder(path).encode, end_id.to_bytes(4, "little")
+        encode, end = bpe.encoder(path, memo).encode, end_id.to_bytes(4, "little")
         base, packer = TaskContext.get().partitionId() << 40, TierPacker(windows)
         waiting: dict[int, list] = {}  # key: doc_id, ids, tokens, tokens not yet placed
         key = sequence = 0
