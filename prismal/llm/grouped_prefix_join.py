@@ -261,13 +261,20 @@ def _star_pairs(leaders: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a run (token, grp, place, component) whose components differ and that can be similar."""
-    for token, grp, place, comp in _runs(batches):
+    """All pairs of a run (token, grp, place, component) whose components differ and that can be similar.
+
+    A fifth column, where there is one, is 1 for groups of several sets and 2 for those
+    whose sets are in several components: only pairs with such a group are given, and
+    those of the second kind meet all others.
+    """
+    for token, grp, place, comp, *kind in _runs(batches):
         n, pos = place >> 32, place & 0xFFFFFFFF
         begin = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.empty(0, np.int64)
         for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(token)], strict=True):
             names, which = np.unique(comp[s:e], return_inverse=True)
-            if len(names) == 1:
+            if kind:
+                which = np.where(kind[0][s:e] == 2, len(names) + np.arange(e - s), which)
+            if (which == which[0]).all() or (kind and not kind[0][s:e].any()):
                 continue
             most = int(np.argmax(np.bincount(which)))  # its members meet the others only
             left, right, held = [], [], 0
@@ -275,7 +282,9 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low = s + int(np.searchsorted(n[s:e], -(-SHARE * n[i] // WHOLE), "left"))
                 high = s + int(np.searchsorted(n[s:e], n[i] * WHOLE // SHARE, "right"))
                 j = np.arange(low, high)
-                j = j[(comp[j] != comp[i]) & ((which[j - s] == most) | (j > i))]
+                j = j[(which[j - s] != which[i - s]) & ((which[j - s] == most) | (j > i))]
+                if kind and not kind[0][i]:
+                    j = j[kind[0][j] > 0]
                 less = n[j] < n[i]
                 j = j[np.where(less, _may_match(n[j], pos[j], n[i], pos[i]), _may_match(n[i], pos[i], n[j], pos[j]))]
                 left.append(np.full(len(j), grp[i]))
@@ -419,18 +428,26 @@ def components_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
         pairs = write_table(spark, by_token(runs()).mapInArrow(_cross_pairs, _PAIRS).select("a", "b").distinct(), "cross-pairs")
         links = links.union(_verified(spark, base, pairs, sets, "cross"))
         nodes = components(spark, links, SMALL_EDGES)
-    # Sets of a group that its head does not stand for.
-    loose = write_table(spark, label(label(many.withColumnsRenamed({"head": "a", "rep": "b"}), "a"), "b").where("a_in != b_in").select(F.col("a").alias("head")).distinct(), "loose")
-    if not loose.isEmpty():
-        wide = many.join(loose, "head", "left_semi").select("head", "rep")
-        # Loose groups pair with all others of a run; the others have one label among them.
-        marked = crowded.join(loose.withColumn("own", F.col("head")).withColumnRenamed("head", "grp"), "grp", "left").select("token", "grp", "place", F.coalesce("own", F.lit(-(2**63))).alias("component"))
-        other = small.union(by_token(marked).mapInArrow(_cross_pairs, _PAIRS).select("a", "b")) if some else small
+    # What only other sets than the heads can link: groups of several sets, against all that are still apart.
+    if not many.isEmpty():
+        wide = write_table(spark, label(label(many.withColumnsRenamed({"head": "a", "rep": "b"}), "a"), "b").select(F.col("a").alias("head"), F.col("b").alias("rep"), "a_in", F.col("b_in").alias("rep_in")), "wide")
+        kinds = wide.groupBy("head").agg(F.when(F.max(F.col("a_in") != F.col("rep_in")), 2).otherwise(1).alias("kind"))
+        other = small
+        if some:
+            marked = label(crowded, "grp").join(kinds.withColumnRenamed("head", "grp"), "grp", "left").select("token", "grp", "place", "grp_in", F.coalesce("kind", F.lit(0)).alias("kind"))
+            other = small.union(by_token(marked).mapInArrow(_cross_pairs, _PAIRS).select("a", "b")).distinct()
+        other = label(label(other, "a"), "b")
+        for c in ("a", "b"):
+            other = other.join(kinds.withColumnsRenamed({"head": c, "kind": f"{c}_kind"}), c, "left").withColumn(f"{c}_kind", F.coalesce(f"{c}_kind", F.lit(0)))
+        other = other.where("(a_kind > 0 or b_kind > 0) and (a_in != b_in or a_kind = 2 or b_kind = 2)").drop("a_kind", "b_kind")
         for c in ("a", "b"):
-            other = other.join(wide.withColumnRenamed("head", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
-        inside = wide.join(wide.withColumnRenamed("rep", "other"), "head").where("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
-        both = other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(inside).distinct()
-        rest = write_table(spark, label(label(both, "a"), "b").where("a_in != b_in").select("a", "b"), "expanded")
+            sides = wide.select(F.col("head").alias(c), F.col("rep").alias(f"{c}_rep"), F.col("rep_in").alias(f"{c}_rep_in"))
+            other = other.join(sides, c, "left").withColumn(f"{c}_rep", F.coalesce(f"{c}_rep", c)).withColumn(f"{c}_in", F.coalesce(f"{c}_rep_in", f"{c}_in")).drop(f"{c}_rep_in")
+        # Two heads have been verified already, as have a head and a set of its group.
+        outside = other.where("a_in != b_in and (a_rep != a or b_rep != b)").select("a_rep", "b_rep")
+        loose = wide.join(kinds.where("kind = 2").select("head"), "head", "left_semi").where("rep != head")
+        inside = loose.select("head", F.col("rep").alias("a_rep"), F.col("rep_in").alias("a_in")).join(loose.select("head", F.col("rep").alias("b_rep"), F.col("rep_in").alias("b_in")), "head").where("a_rep < b_rep and a_in != b_in").select("a_rep", "b_rep")
+        rest = write_table(spark, outside.union(inside).select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct(), "expanded")
         links = links.union(_verified(spark, base, rest, sets, "expanded"))
         nodes = components(spark, links, SMALL_EDGES)
 
