@@ -41,8 +41,6 @@ class Disclosure:
     remove: float = 0.95
     #: Documents that must hold entity and term together before they are judged.
     support: int = 3
-    #: Code points on each side of an entity in which its terms stand.
-    reach: int = 80
 
 
 def _luhn(digits: Column) -> Column:
@@ -109,15 +107,26 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda w: F.lower(w)))
 
 
+def _outside(text: Column, spans: Column) -> Column:
+    """``text`` with a blank for each span."""
+
+    def step(acc: Column, s: Column) -> Column:
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(" "))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
 def disclosing_terms(spark: SparkSession, docs: DataFrame, found: DataFrame, how: Disclosure) -> DataFrame:
     """entity, term, disclosure of the pairs that reach the lower threshold.
 
-    ``found`` has doc_id, text_hash and contexts, an array of (entity, near text), of
-    the texts that hold an entity.  All its counts are of distinct texts of the corpus.
+    ``found`` has doc_id, text_hash, entities and words, those of the whole text outside
+    of entities, of the texts that hold an entity.  All its counts are of distinct texts
+    of the corpus.
     """
-    seen = found.select("doc_id", "text_hash", F.explode("contexts").alias("c")).select("doc_id", "text_hash", "c.entity", "c.near")
-    entities = seen.select("entity", "doc_id", "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= how.support)
-    pairs = seen.join(entities, "entity").select("entity", "n_entity", "doc_id", "text_hash", F.explode(_terms(F.col("near"))).alias("term")).distinct()
+    seen = found.select("doc_id", "text_hash", F.explode("entities").alias("entity"), "words")
+    entities = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= how.support)
+    pairs = seen.join(entities, "entity").select("entity", "n_entity", F.explode("words").alias("term"))
     pairs = write_table(spark, pairs.groupBy("entity", "n_entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= how.support), "entity-terms")
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
@@ -141,21 +150,15 @@ def find(spark: SparkSession, docs: DataFrame, how: Disclosure = Disclosure()) -
     docs = pick(docs, ["doc_id", "text"])
     spans = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", base_spans(F.col("text")).alias("base"))
 
-    def near(s: Column) -> Column:
-        before = F.greatest(s["start"] - how.reach, F.lit(0))
-        text = F.col("text")
-        # The words that the cut ends may be parts of others; they are left out.
-        left = F.regexp_replace(F.substring(text, before + 1, s["start"] - before), r"^[^\s]*", "")
-        right = F.regexp_replace(F.substring(text, s["end"] + 1, F.lit(how.reach)), r"[^\s]*$", "")
-        return F.struct(_entity(s).alias("entity"), F.concat_ws(" ", left, right).alias("near"))
-
-    rows = write_table(spark, spans.select("doc_id", "text_hash", "base", F.transform("base", near).alias("contexts")), "base-spans")
-    found = rows.where(F.size("base") > 0).select("doc_id", "text_hash", "contexts").dropDuplicates(["doc_id", "text_hash"])
+    entities = F.array_distinct(F.transform("base", _entity))
+    words = F.when(F.size("base") > 0, _terms(_outside(F.col("text"), F.col("base")))).otherwise(F.array().cast("array<string>"))
+    rows = write_table(spark, spans.select("doc_id", "text_hash", "base", entities.alias("entities"), words.alias("words")), "base-spans")
+    found = rows.where(F.size("base") > 0).select("doc_id", "text_hash", "entities", "words").dropDuplicates(["doc_id", "text_hash"])
     risky = write_table(spark, disclosing_terms(spark, docs, found, how), "disclosing-terms")
-    held = found.select("doc_id", "text_hash", F.explode("contexts").alias("c")).select("doc_id", "text_hash", "c.entity").distinct()
+    held = found.select("doc_id", "text_hash", F.explode("entities").alias("entity"))
     marks = held.join(risky, "entity").groupBy("doc_id", "text_hash", "term").agg(F.max("disclosure").alias("d"))
     marked = marks.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("d") >= how.remove).alias("remove")))).alias("terms"))
-    return rows.drop("contexts"), write_table(spark, marked, "marked")
+    return rows.drop("entities", "words"), write_table(spark, marked, "marked")
 
 
 def _term_spans(text: Column, terms: Column) -> Column:
