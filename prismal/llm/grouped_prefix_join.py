@@ -6,12 +6,14 @@ a shingle of their prefixes (the first n - ceil(t n) + 1), so only texts that me
 there are compared.  Texts of the same size and prefix are one group; groups are
 paired, then expanded to their distinct sets, and these are verified exactly.
 
-To spare the square of a group of near copies, a crowded shingle first pairs its
-groups with a few leaders only.  Verified links are joined into components, those
-still outside meet more leaders, and in the end exactly those pairs of the crowded
-shingles are verified that are still in different components.  No link between
-components is missed.  Before whole sets are moved, histograms of the sets bound
-what a pair can have in common, and only pairs that can be similar go on.
+No run of equal shingles is ever paired with itself when it is crowded.  Its sets meet
+a few leaders, and links to these join most of them into components.  Where a run
+still holds several components, its sets are rewritten as what sets them apart from
+one leader: two sets x and y can only be similar, and not both be similar to the
+leader, if they share some of that (the symmetric difference is a metric), so runs of
+equal differences are searched next, and crowded ones of these get a leader of their
+own, until none is left.  Small runs are verified where they lie: only links leave
+a task, a forest of them for each run.  No link between components is missed.
 """
 
 from __future__ import annotations
@@ -34,11 +36,17 @@ SHARE, WHOLE = 75, 100
 #: Slots of the sketch that tells crowded shingles; 32 MB in a worker.
 SLOT_BITS = 24
 #: A task reports slots that have so many texts and deviations more than the mean.
-CROWD, DEVIATIONS = 1,4
-#: Up to so many groups of a shingle are paired at once; more begin with leaders,
-#: so many in each round.
+CROWD, DEVIATIONS = 1, 4
+#: Of so many texts (by their hash) one tells its shingles to the sketch beyond that, so
+#: that one in every task is found too; this only orders shingles.
+TELLING = 64
+#: Slots of so many texts (a power of two) are crowded for sure: no task looks for their run.
+HOT, SALTS = 8, 64
+#: Up to so many sets of a shingle are paired at once; more begin with leaders, so many.
 PAIRED = 8
-LEADERS = (4, 8)
+LEADERS = 4
+#: Runs of equal differences of more sets, or more bytes of them, get a leader of their own.
+DIRECT, DIRECT_BYTES = 1024, 1 << 25
 #: Bits of the filter that tells which sets verification needs.
 FILTER_BITS = 1 << 26
 
@@ -66,16 +74,28 @@ def crowded_slots(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe.forget()
         count, total = np.zeros(1 << SLOT_BITS, dtype=np.uint16), 0  # stops at 65,535
+        told: list[np.ndarray] = []
         for b in batches:
             for _, s in shingle_sets(b.column(0).to_pylist()):
                 slots, n = np.unique(slot_of(s), return_counts=True)
                 count[slots] = np.minimum(count[slots].astype(np.int64) + n, 65_535)
                 total += len(s)
+                if int(mix(s).sum()) % TELLING == 0:
+                    told.append(slots.astype(np.int32))
         mean = total / (1 << SLOT_BITS)
-        slots = np.flatnonzero(count > mean + DEVIATIONS * mean**0.5 + CROWD)
-        yield pa.record_batch([pa.array(slots, pa.int32()), pa.array(count[slots], pa.int64())], names=["slot", "n"])
-
-    got = pick(docs, ["text"]).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # 2 ** SLOT_BITS rows at most
+        many = count > mean + DEVIATIONS * mean**0.5 + CROWD
+        slots = np.flatnonzero(many)
+        rest, n = np.unique(np.concatenate([np.empty(0, np.int32), *told]), return_counts=True)
+        n = n[~many[rest]]
+        rest = rest[~many[rest]]
+        kind = np.repeat(np.array([0, 1], np.int32), [len(slots), len(rest)])
+        yield pa.record_batch([pa.array(np.append(slots, rest), pa.int32()), pa.array(kind), pa.array(np.append(count[slots].astype(np.int64), n))], names=["slot", "kind", "n"])
+
+    told = pick(docs, ["text"]).mapInArrow(run, "slot int, kind int, n long")
+    sure, hint = F.coalesce(F.sum(F.expr("if(kind = 0, n, null)")), F.lit(0)), F.coalesce(F.sum(F.expr("if(kind = 1, n, null)")), F.lit(0))
+    # A slot that no task found crowded must be told several times, by texts that stand for TELLING.
+    found = told.groupBy("slot").agg(sure.alias("sure"), hint.alias("hint")).where("sure > 0 or hint > 2")
+    got = found.select("slot", (F.col("sure") + TELLING * F.col("hint")).alias("n")).toArrow()  # 2 ** SLOT_BITS rows at most
     slots, n = got["slot"].to_numpy(), got["n"].to_numpy()
     order = np.argsort(slots)
     return slots[order].astype(np.int64), np.frexp(n[order].astype(np.float64))[1].astype(np.uint64)
@@ -141,15 +161,36 @@ def _describe(crowd) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return run
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, grp, place) for each shingle of a prefix; place is n * 2 ** 32 + position."""
-    for b in batches:
-        raw = b.column(2).to_pylist()
-        size = np.fromiter((len(r) // 8 for r in raw), np.int64, len(raw))
-        token = np.frombuffer(b"".join(raw), np.int64)
-        at = np.cumsum(size) - size
-        place = np.repeat(b.column(1).to_numpy() << 32, size) + np.arange(len(token)) - np.repeat(at, size)
-        yield pa.record_batch([pa.array(token), pa.array(np.repeat(b.column(0).to_numpy(), size)), pa.array(place)], names=["token", "grp", "place"])
+_POSTINGS = "token long, grp long, sets int, place long, salt int"
+
+
+def _postings(crowd) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """_POSTINGS for each shingle of a prefix of (grp, n, sets, prefix); place is n * 2 ** 32 + position.
+
+    The salt deals a hot shingle out to many partitions; it is -1 for others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, classes = crowd.value
+        hot = slots[classes > HOT]
+        for b in batches:
+            raw = b.column(3).to_pylist()
+            size = np.fromiter((len(r) // 8 for r in raw), np.int64, len(raw))
+            token = np.frombuffer(b"".join(raw), np.uint64)
+            at = np.cumsum(size) - size
+            place = np.repeat(b.column(1).to_numpy() << 32, size) + np.arange(len(token)) - np.repeat(at, size)
+            grp = np.repeat(b.column(0).to_numpy(), size)
+            yield pa.record_batch(
+                [pa.array(_signed(token)), pa.array(grp), pa.array(np.repeat(b.column(2).to_numpy(), size), pa.int32()), pa.array(place), pa.array(np.where(_within(slot_of(token), hot), grp % SALTS, -1), pa.int32())],
+                names=[c.split(" ")[0] for c in _POSTINGS.split(", ")],
+            )
+
+    return run
+
+
+def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted ``known``."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), dtype=bool)
 
 
 def _may_match(n1, p1, n2, p2):
@@ -158,28 +199,15 @@ def _may_match(n1, p1, n2, p2):
     return (WHOLE * n1 >= SHARE * n2) & (p1 <= n1 - need) & (p2 <= n2 - need)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Whole runs of equal first columns, those of one row left out, from batches in that order."""
-    carry: list[np.ndarray] | None = None
-    for b in batches:
-        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
-        if not len(cols[0]):
-            continue
-        if carry is not None:
-            cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
-        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-        carry = [c[cut:] for c in cols]
-        if cut:
-            yield _shared([c[:cut] for c in cols])
-    if carry is not None:
-        yield _shared(carry)
+def _apart(n, m):
+    """How much sets of sizes n and m can differ and be similar."""
+    return (WHOLE - SHARE) * (n + m) // (WHOLE + SHARE)
 
 
-def _shared(cols: list[np.ndarray]) -> list[np.ndarray]:
-    t = cols[0]
-    same = t[1:] == t[:-1]
-    keep = np.append(same, False) | np.append(False, same)
-    return [c[keep] for c in cols]
+def _runs_of(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, length) of the runs in a sorted array."""
+    begin = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.empty(0, np.int64)
+    return begin, np.diff(np.append(begin, len(token)))
 
 
 _PAIRS = "kind int, a long, b long, token long, place long"
@@ -200,15 +228,20 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (kind 0) of small runs; the postings of crowded ones (kind 1)."""
-    for token, grp, place in _runs(batches):
+    """From _POSTINGS by token: pairs of groups (kind 0) of small runs, the postings (kind 1) of others and of hot ones.
+
+    At most PAIRED rows of a run are held: what follows in a larger one is passed on.
+    """
+
+    def pairs(token, grp, sets, place) -> Iterator[pa.RecordBatch]:
         n, pos = place >> 32, place & 0xFFFFFFFF
-        begin = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.empty(0, np.int64)
-        size = np.diff(np.append(begin, len(token)))
+        begin, size = _runs_of(token)
+        if not len(begin):
+            return
+        few = np.repeat((np.add.reduceat(sets, begin) <= PAIRED) | (size == 1), size)
         left, right = [], []
-        small = np.repeat(size <= PAIRED, size)
         for k in range(1, PAIRED):
-            i = np.flatnonzero((token[k:] == token[:-k]) & small[k:]) if len(token) > k else np.empty(0, np.int64)
+            i = np.flatnonzero((token[k:] == token[:-k]) & few[k:]) if len(token) > k else np.empty(0, np.int64)
             if not len(i):
                 break
             ok = _may_match(n[i], pos[i], n[i + k], pos[i + k])
@@ -217,86 +250,34 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if left:
             i, j = np.concatenate(left), np.concatenate(right)
             yield _pair_rows(0, *_distinct(np.minimum(grp[i], grp[j]), np.maximum(grp[i], grp[j])))
-        if not small.all():
-            yield _pair_rows(1, grp[~small], grp[~small], token[~small], place[~small])
+        if not few.all():
+            yield _pair_rows(1, grp[~few], grp[~few], token[~few], place[~few])
 
-
-def _star_pairs(leaders: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """In runs (token, grp, place, component): pairs with a few leaders, for each range of sizes.
-
-    Leaders are of the most frequent component and the same in every run that has
-    them (the least by a seeded hash), so that pairs repeat; others of that
-    component need no pair.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, grp, place, comp in _runs(batches):
-            if not len(token):
-                continue
-            n, pos = place >> 32, place & 0xFFFFFFFF
-            band = np.floor(np.log(n) / np.log(WHOLE / SHARE)).astype(np.int64)
-            rank = mix(grp.astype(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
-            cut = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (band[1:] != band[:-1])))
-            ends = np.append(cut[1:], len(token))
-            left, right = [], []
-            for k, (s, e) in enumerate(zip(cut.tolist(), ends.tolist(), strict=True)):
-                names, which, count = np.unique(comp[s:e], return_inverse=True, return_counts=True)
-                most = int(np.argmax(count))
-                able = np.arange(s, e) if count[most] == 1 else np.flatnonzero(which == most) + s
-                lead = able[np.argpartition(rank[able], leaders - 1)[:leaders]] if len(able) > leaders else able
-                # Leaders meet their own range of sizes and the next one.
-                far = int(ends[k + 1]) if k + 1 < len(cut) and token[cut[k + 1]] == token[s] and band[cut[k + 1]] == band[s] + 1 else e
-                for i in lead.tolist():
-                    j = np.arange(s, far)
-                    j = j[comp[j] != comp[i]]
-                    less = n[j] < n[i]
-                    j = j[np.where(less, _may_match(n[j], pos[j], n[i], pos[i]), _may_match(n[i], pos[i], n[j], pos[j]))]
-                    left.append(np.full(len(j), grp[i]))
-                    right.append(grp[j])
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                yield _pair_rows(0, *_distinct(np.minimum(a, b), np.maximum(a, b)))
-
-    return run
-
-
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a run (token, grp, place, component) whose components differ and that can be similar.
-
-    A fifth column, where there is one, is 1 for groups of several sets and 2 for those
-    whose sets are in several components: only pairs with such a group are given, and
-    those of the second kind meet all others.
-    """
-    for token, grp, place, comp, *kind in _runs(batches):
-        n, pos = place >> 32, place & 0xFFFFFFFF
-        begin = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.empty(0, np.int64)
-        for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(token)], strict=True):
-            names, which = np.unique(comp[s:e], return_inverse=True)
-            if kind:
-                which = np.where(kind[0][s:e] == 2, len(names) + np.arange(e - s), which)
-            if (which == which[0]).all() or (kind and not kind[0][s:e].any()):
-                continue
-            most = int(np.argmax(np.bincount(which)))  # its members meet the others only
-            left, right, held = [], [], 0
-            for i in (np.flatnonzero(which != most) + s).tolist():
-                low = s + int(np.searchsorted(n[s:e], -(-SHARE * n[i] // WHOLE), "left"))
-                high = s + int(np.searchsorted(n[s:e], n[i] * WHOLE // SHARE, "right"))
-                j = np.arange(low, high)
-                j = j[(which[j - s] != which[i - s]) & ((which[j - s] == most) | (j > i))]
-                if kind and not kind[0][i]:
-                    j = j[kind[0][j] > 0]
-                less = n[j] < n[i]
-                j = j[np.where(less, _may_match(n[j], pos[j], n[i], pos[i]), _may_match(n[i], pos[i], n[j], pos[j]))]
-                left.append(np.full(len(j), grp[i]))
-                right.append(grp[j])
-                held += len(j)
-                if held > 500_000:
-                    a, b = np.concatenate(left), np.concatenate(right)
-                    yield _pair_rows(0, *_distinct(np.minimum(a, b), np.maximum(a, b)))
-                    left, right, held = [], [], 0
-            if held:
-                a, b = np.concatenate(left), np.concatenate(right)
-                yield _pair_rows(0, *_distinct(np.minimum(a, b), np.maximum(a, b)))
+    carry, open_run = None, None
+    for b in batches:
+        cols = [b.column(i).to_numpy() for i in range(5)]
+        hot = cols.pop() >= 0
+        if hot.any():
+            yield _pair_rows(1, cols[1][hot], cols[1][hot], cols[0][hot], cols[3][hot])
+            cols = [c[~hot] for c in cols]
+        if open_run is not None:
+            k = int(np.searchsorted(cols[0], open_run, "right"))
+            if k:
+                yield _pair_rows(1, cols[1][:k], cols[1][:k], cols[0][:k], cols[3][:k])
+            cols = [c[k:] for c in cols]
+        if not len(cols[0]):
+            continue
+        open_run = None
+        if carry is not None:
+            cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        yield from pairs(*(c[:cut] for c in cols))
+        carry = [c[cut:] for c in cols]
+        if len(carry[0]) > 1 and carry[2].sum() > PAIRED:
+            yield from pairs(*carry)
+            open_run, carry = carry[0][0], None
+    if carry is not None:
+        yield from pairs(*carry)
 
 
 def _filter_of(ids: np.ndarray) -> np.ndarray:
@@ -379,6 +360,221 @@ def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, sets: Data
     return _similar(spark, able, _sets_of(spark, docs, able, f"{name}-sets"), f"{name}-links")
 
 
+_MEMBERS = [f"l{k}" for k in range(LEADERS)]
+
+
+def _with_leaders(crowded: DataFrame) -> DataFrame:
+    """l0, l1, ..., x, mask: the sets (token, x, place) of crowded runs with the leaders of their run.
+
+    Leaders are of one range of sizes and meet the next one too; a set is in the runs
+    of two ranges.  They are the least by seeded hashes, so that runs of the same sets
+    have the same ones.  Bit k of ``mask`` tells that leader k can be similar to x.
+    """
+    n, pos = F.shiftright("place", 32), F.col("place").bitwiseAND(0xFFFFFFFF)
+    band = F.floor(F.log(n) / F.log(F.lit(WHOLE / SHARE)))
+    rows = crowded.select("token", "x", "place", band.alias("band")).withColumn("zone", F.explode(F.array(F.col("band") - 1, F.col("band"))))
+    key = [F.xxhash64("x", F.lit(k)) for k in range(LEADERS)]
+    first = [c for k in range(LEADERS) for c in (F.min_by("x", key[k]).alias(f"l{k}"), F.min_by("place", key[k]).alias(f"p{k}"))]
+    leaders = rows.where("band = zone").groupBy("token", "zone").agg(*first)
+    mask = F.lit(0)
+    for k in range(LEADERS):
+        m, at = F.shiftright(f"p{k}", 32), F.col(f"p{k}").bitwiseAND(0xFFFFFFFF)
+        need = F.ceil(F.lit(SHARE) * (n + m) / (SHARE + WHOLE))
+        able = (WHOLE * F.least(n, m) >= SHARE * F.greatest(n, m)) & (pos <= n - need) & (at <= m - need) & (F.col("x") != F.col(f"l{k}"))
+        mask = mask.bitwiseOR(F.when(able, 1 << k).otherwise(0))
+    return rows.join(leaders, ["token", "zone"]).select(*_MEMBERS, "x", mask.alias("mask")).groupBy(*_MEMBERS, "x").agg(F.bit_or("mask").alias("mask"))
+
+
+def _star_pairs(stars: DataFrame) -> DataFrame:
+    met = stars.select("x", F.explode(F.array(*[F.when(F.col("mask").bitwiseAND(1 << k) > 0, F.col(f"l{k}")) for k in range(LEADERS)])).alias("l")).where("l is not null")
+    return met.select(F.least("x", "l").alias("a"), F.greatest("x", "l").alias("b"))
+
+
+def _labelled(df: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``df`` with the component of x."""
+    return df.join(nodes.withColumnsRenamed({"node": "x", "component": "c"}), "x", "left").withColumn("c", F.coalesce("c", "x"))
+
+
+def _still_open(df: DataFrame, by: list[str]) -> DataFrame:
+    """The values of ``by`` whose sets are in several components."""
+    return df.groupBy(*by).agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select(*by)
+
+
+_DIFFERENCES = "bundle long, leader long, x long, n long, near boolean, d binary"
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_DIFFERENCES from (leader, x, their shingles): what is in one of both only."""
+    for b in batches:
+        rows = []
+        for u, v in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            own, lead = np.frombuffer(v, np.uint64), np.frombuffer(u, np.uint64)
+            both = np.sort(np.concatenate([own, lead]))
+            twice = both[1:] == both[:-1]
+            d = both[~(np.append(twice, False) | np.append(False, twice))]
+            rows.append((int(mix(lead).sum().view(np.int64)), len(own), len(d) <= _apart(len(own), len(lead)), d.tobytes()))
+        bundle, n, near, d = zip(*rows, strict=True) if rows else ((), (), (), ())
+        yield pa.record_batch([pa.array(bundle, pa.int64()), b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(near, pa.bool_()), pa.array(d, pa.binary())], names=[c.split(" ")[0] for c in _DIFFERENCES.split(", ")])
+
+
+def _tokens(bundle: int, d: np.ndarray) -> np.ndarray:
+    return mix(d ^ mix(np.array([bundle], dtype=np.int64).view(np.uint64)))
+
+
+def _frequent(apart: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, class) of the differences (bundle, d) that several sets have; it only orders them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(1 << SLOT_BITS, dtype=np.uint16)
+        for b in batches:
+            for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                slots = np.unique(slot_of(_tokens(k, np.frombuffer(d, np.uint64))))
+                count[slots] = np.minimum(count[slots].astype(np.int64) + 1, 65_535)
+        slots = np.flatnonzero(count)
+        yield pa.record_batch([pa.array(slots, pa.int32()), pa.array(count[slots], pa.int64())], names=["slot", "n"])
+
+    got = apart.select("bundle", "d").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 3").toArrow()  # 2 ** SLOT_BITS rows at most
+    slots, n = got["slot"].to_numpy(), got["n"].to_numpy()
+    order = np.argsort(slots)
+    return slots[order].astype(np.int64), np.frexp(n[order].astype(np.float64))[1].astype(np.uint8)
+
+
+_OFFERS = "token long, x long, c long, n long, pos long, d binary"
+
+
+def _offers(crowd) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """_OFFERS for the first differences of (bundle, x, c, n, d): enough to meet every similar set that shares some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, classes = crowd.value
+        rank = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
+        rank[slots] = classes
+        for b in batches:
+            for bundle, x, c, n, d in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                token = _tokens(bundle, np.frombuffer(d, np.uint64))
+                token = token[np.argsort(token)]
+                token = token[np.argsort(rank[slot_of(token)], kind="stable")]
+                k = min(len(token), int(_apart(n, n * WHOLE // SHARE)) + 1)
+                column = lambda v, kind=pa.int64(), k=k: pa.array(np.full(k, v), kind)
+                yield pa.record_batch([pa.array(_signed(token[:k])), column(x), column(c), column(n), pa.array(np.arange(k)), pa.array([_signed(np.sort(token)).tobytes()] * k, pa.binary())], names=[y.split(" ")[0] for y in _OFFERS.split(", ")])
+
+    return run
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How much each two of the sets have in common."""
+    who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    names, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    shared = count[which] > 1
+    who, which = who[shared], column[which[shared]]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    width = max(1, (1 << 24) // len(sets))
+    order = np.argsort(which, kind="stable")
+    who, which = who[order], which[order]
+    for lo in range(0, int(which[-1]) + 1 if len(which) else 0, width):
+        i, j = np.searchsorted(which, [lo, lo + width])
+        block = np.zeros((len(sets), min(width, int(which[-1]) + 1 - lo)), dtype=np.float32)
+        block[who[i:j], which[i:j] - lo] = 1
+        out += block @ block.T
+    return out.astype(np.int64)
+
+
+_FOUND = "kind int, a long, b long, token long, size long"
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From _OFFERS by token: links (kind 0) between components, a forest of them for each run.
+
+    Two sets that differ by T at most and first share what is at p and q have p + q <= T.
+    Sets of a run that can have no partner by that are left out; a run of more than
+    DIRECT others is passed on (kind 1), without being held.
+    """
+    names = [y.split(" ")[0] for y in _FOUND.split(", ")]
+
+    def verified(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        x, c, n, pos = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(1, 5))
+        v = (WHOLE + SHARE) * pos - (WHOLE - SHARE) * n
+        able = np.flatnonzero(v + v.min() <= 0)
+        if len(able) < 2 or (c[able] == c[able[0]]).all():
+            return
+        x, c, n, v = x[able], c[able], n[able], v[able]
+        d = [np.frombuffer(rows[i][5], np.int64) for i in able]
+        size = np.array([len(s) for s in d])
+        i, j = np.nonzero(np.triu((c[:, None] != c) & (v[:, None] + v <= 0) & (size[:, None] + size - 2 * _common(d) <= _apart(n[:, None], n)), 1))
+        up: dict[int, int] = {}
+
+        def root(k: int) -> int:
+            while (y := up.get(k, k)) != k:
+                k = y
+            return k
+
+        links = []
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            p, q = root(int(c[a])), root(int(c[b]))
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                links.append((min(x[a], x[b]), max(x[a], x[b])))
+        if links:
+            a, b = (np.array(y, dtype=np.int64) for y in zip(*links, strict=True))
+            zero = np.zeros(len(a), dtype=np.int64)
+            yield pa.record_batch([pa.array(zero, pa.int32()), pa.array(a), pa.array(b), pa.array(zero), pa.array(zero)], names=names)
+
+    def passed(rows: list[tuple]) -> pa.RecordBatch:
+        token, x, _, _, _, d = zip(*rows, strict=True)
+        return pa.record_batch([pa.array(np.ones(len(x)), pa.int32()), pa.array(x, pa.int64()), pa.array(x, pa.int64()), pa.array(token, pa.int64()), pa.array([len(y) for y in d], pa.int64())], names=names)
+
+    held: list[tuple] = []
+    size, crowded = 0, False
+    for b in batches:
+        for r in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+            if held and r[0] != held[0][0]:
+                if crowded:
+                    yield passed(held)
+                else:
+                    yield from verified(held)
+                held, size, crowded = [], 0, False
+            held.append(r)
+            size += len(r[5])
+            if len(held) > DIRECT or (size > DIRECT_BYTES and len(held) > PAIRED):
+                crowded = True
+            if crowded and len(held) > 1:
+                yield passed(held[:-1])
+                held, size = held[-1:], 0
+    if held:
+        if crowded:
+            yield passed(held)
+        else:
+            yield from verified(held)
+
+
+def _by_differences(spark: SparkSession, docs: DataFrame, bundles: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``links`` and all that is missing between components among the sets that have one leader in ``bundles`` (leader, x)."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets = _sets_of(spark, docs, bundles.withColumnsRenamed({"leader": "a", "x": "b"}), "open-sets")
+    while True:
+        pairs = bundles.join(sets.withColumnsRenamed({"id": "x", "shingles": "v"}), "x").join(sets.withColumnsRenamed({"id": "leader", "shingles": "u"}), "leader")
+        apart = write_table(spark, pairs.select("leader", "x", "u", "v").mapInArrow(_differences, _DIFFERENCES), "differences")
+        links = links.union(apart.where("near").select(F.least("leader", "x").alias("a"), F.greatest("leader", "x").alias("b")))
+        nodes = components(spark, links, SMALL_EDGES)
+        rows = write_table(spark, _labelled(apart.select("bundle", "x", "n", "d"), nodes), "labelled")
+        rows = rows.join(broadcast_if_small(write_table(spark, _still_open(rows, ["bundle"]), "open")), "bundle").select("bundle", "x", "c", "n", "d")
+        rows = write_table(spark, rows, "open-differences")
+        if rows.isEmpty():
+            return links
+        crowd = spark.sparkContext.broadcast(_frequent(rows))
+        offers = rows.mapInArrow(_offers(crowd), _OFFERS).repartition(parts, "token").sortWithinPartitions("token")
+        found = write_table(spark, offers.mapInArrow(_search, _FOUND), "found")
+        links = links.union(write_table(spark, found.where("kind = 0").select("a", "b").distinct(), "found-links"))
+        nodes = components(spark, links, SMALL_EDGES)
+        # Crowded runs go on with the set that differs least from their old leader.
+        more = _labelled(found.where("kind = 1").select("token", F.col("a").alias("x"), "size"), nodes)
+        lead = more.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("x", "size").alias("leader")).where("low != high").select("token", "leader")
+        bundles = write_table(spark, more.join(lead, "token").where("x != leader").select("leader", "x").distinct(), "bundles")
+        if bundles.isEmpty():
+            return links
+
+
 def components_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text).
 
@@ -396,59 +592,37 @@ def components_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
     members = write_table(spark, base.mapInArrow(_describe(crowd), _ROWS), "members")
     known = members.where("n > 0 and doc_id is not null")
     sets = write_table(spark, known.groupBy("grp", "n", "signature").agg(F.min("doc_id").alias("rep"), F.first("histogram").alias("histogram")), "sets")  # distinct texts
-    heads = sets.groupBy("grp").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("sets"))
+    several = write_table(spark, sets.groupBy("grp").agg(F.min("rep").alias("head"), F.count(F.lit(1)).cast("int").alias("sets")).where("sets > 1"), "several")
+    inside = write_table(spark, sets.select("grp", "rep", "n").join(broadcast_if_small(several), "grp"), "shared-prefix")
 
     # Groups, by the doc_id of their least member, meet at the shingles of their prefixes.
     groups = known.groupBy("grp", "n").agg(F.min("doc_id").alias("head"), F.first("prefix").alias("prefix"))
-    postings = groups.select("head", "n", "prefix").mapInArrow(_postings, "token long, grp long, place long")
+    groups = groups.join(broadcast_if_small(several.select("grp", "sets")), "grp", "left").select("head", "n", F.coalesce("sets", F.lit(1)).alias("sets"), "prefix")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_token = lambda df: df.repartition(parts, "token").sortWithinPartitions("token", "place", "grp")
-    met = write_table(spark, by_token(postings).mapInArrow(_first_pairs, _PAIRS), "meetings")
-    small = write_table(spark, met.where("kind = 0").select("a", "b").distinct(), "small-pairs")
-    crowded = met.where("kind = 1").select("token", F.col("a").alias("grp"), "place")
-
-    # Distinct sets of one group: each against the head.
-    many = write_table(spark, sets.select("grp", "rep").join(heads.where("sets > 1").drop("sets"), "grp"), "shared-prefix")
-    inner = many.where("rep != head").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b"))
-    stars = lambda k, df: by_token(df).mapInArrow(_star_pairs(LEADERS[k], k), _PAIRS).select("a", "b")
-    some = not crowded.isEmpty()
-    first = small.union(inner)
-    if some:
-        first = first.union(stars(0, crowded.withColumn("component", F.col("grp"))))
-    links = _verified(spark, base, write_table(spark, first.distinct(), "first-pairs"), sets, "first")
+    postings = groups.mapInArrow(_postings(crowd), _POSTINGS).repartition(parts, "token", "salt").sortWithinPartitions("token", "place", "grp")
+    met = write_table(spark, postings.mapInArrow(_first_pairs, _PAIRS), "meetings")
+
+    # From here on groups are expanded to their sets.
+    of = broadcast_if_small(inside.select("head", "rep"))
+    expand = lambda df, c: df.join(of.withColumnsRenamed({"head": c, "rep": f"{c}_rep"}), c, "left").withColumn(c, F.coalesce(f"{c}_rep", c)).drop(f"{c}_rep")
+    small = met.where("kind = 0").select("a", "b").distinct()
+    small = expand(expand(small, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crowded = met.where("kind = 1").select("token", F.col("a").alias("x"), "place")
+    crowded = expand(crowded, "x").select("token", "x", "place").union(inside.select(F.xxhash64("grp").alias("token"), F.col("rep").alias("x"), F.shiftleft("n", 32).alias("place")))
+    stars = write_table(spark, _with_leaders(crowded), "stars")
+    pairs = write_table(spark, small.union(_star_pairs(stars)).where("a != b").distinct(), "first-pairs")
+    links = _verified(spark, base, pairs, sets, "first")
     nodes = components(spark, links, SMALL_EDGES)
-    label = lambda df, c: df.join(nodes.withColumnsRenamed({"node": c, "component": f"{c}_in"}), c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
-    runs = lambda: label(crowded, "grp").select("token", "grp", "place", "grp_in")
-    if some:
-        for k in range(1, len(LEADERS)):
-            pairs = write_table(spark, stars(k, runs()).distinct(), f"star-{k}-pairs")
-            links = links.union(_verified(spark, base, pairs, sets, f"star-{k}"))
-            nodes = components(spark, links, SMALL_EDGES)
-        # What is still apart in the runs of crowded shingles.
-        pairs = write_table(spark, by_token(runs()).mapInArrow(_cross_pairs, _PAIRS).select("a", "b").distinct(), "cross-pairs")
-        links = links.union(_verified(spark, base, pairs, sets, "cross"))
-        nodes = components(spark, links, SMALL_EDGES)
-    # What only other sets than the heads can link: groups of several sets, against all that are still apart.
-    if not many.isEmpty():
-        wide = write_table(spark, label(label(many.withColumnsRenamed({"head": "a", "rep": "b"}), "a"), "b").select(F.col("a").alias("head"), F.col("b").alias("rep"), "a_in", F.col("b_in").alias("rep_in")), "wide")
-        kinds = wide.groupBy("head").agg(F.when(F.max(F.col("a_in") != F.col("rep_in")), 2).otherwise(1).alias("kind"))
-        other = small
-        if some:
-            marked = label(crowded, "grp").join(kinds.withColumnRenamed("head", "grp"), "grp", "left").select("token", "grp", "place", "grp_in", F.coalesce("kind", F.lit(0)).alias("kind"))
-            other = small.union(by_token(marked).mapInArrow(_cross_pairs, _PAIRS).select("a", "b")).distinct()
-        other = label(label(other, "a"), "b")
-        for c in ("a", "b"):
-            other = other.join(kinds.withColumnsRenamed({"head": c, "kind": f"{c}_kind"}), c, "left").withColumn(f"{c}_kind", F.coalesce(f"{c}_kind", F.lit(0)))
-        other = other.where("(a_kind > 0 or b_kind > 0) and (a_in != b_in or a_kind = 2 or b_kind = 2)").drop("a_kind", "b_kind")
-        for c in ("a", "b"):
-            sides = wide.select(F.col("head").alias(c), F.col("rep").alias(f"{c}_rep"), F.col("rep_in").alias(f"{c}_rep_in"))
-            other = other.join(sides, c, "left").withColumn(f"{c}_rep", F.coalesce(f"{c}_rep", c)).withColumn(f"{c}_in", F.coalesce(f"{c}_rep_in", f"{c}_in")).drop(f"{c}_rep_in")
-        # Two heads have been verified already, as have a head and a set of its group.
-        outside = other.where("a_in != b_in and (a_rep != a or b_rep != b)").select("a_rep", "b_rep")
-        loose = wide.join(kinds.where("kind = 2").select("head"), "head", "left_semi").where("rep != head")
-        inside = loose.select("head", F.col("rep").alias("a_rep"), F.col("rep_in").alias("a_in")).join(loose.select("head", F.col("rep").alias("b_rep"), F.col("rep_in").alias("b_in")), "head").where("a_rep < b_rep and a_in != b_in").select("a_rep", "b_rep")
-        rest = write_table(spark, outside.union(inside).select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct(), "expanded")
-        links = links.union(_verified(spark, base, rest, sets, "expanded"))
+
+    # Runs of several components go on with the leader that has most links.
+    apart = _labelled(stars.drop("mask"), nodes)
+    still = write_table(spark, _still_open(apart, _MEMBERS), "open-runs")
+    degree = links.select(F.explode(F.array("a", "b")).alias("leader")).groupBy("leader").agg(F.count(F.lit(1)).alias("degree"))
+    ranked = still.select(*_MEMBERS, F.explode(F.array(*_MEMBERS)).alias("leader")).join(degree, "leader", "left")
+    best = ranked.groupBy(*_MEMBERS).agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "leader")).alias("best")).select(*_MEMBERS, "best.leader")
+    bundles = write_table(spark, stars.join(broadcast_if_small(write_table(spark, best, "best")), _MEMBERS).where("x != leader").select("leader", "x").distinct(), "bundles")
+    if not bundles.isEmpty():
+        links = _by_differences(spark, base, bundles, links, nodes)
         nodes = components(spark, links, SMALL_EDGES)
 
     named = sets.join(nodes.withColumnRenamed("node", "rep"), "rep", "left").select("grp", "n", "signature", F.coalesce("component", "rep").alias("set_in"))
@@ -458,15 +632,18 @@ def components_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns and one row for each component of similar texts, the least doc_id.
+    """``docs`` with all its columns and one document for each component of similar texts, the least doc_id.
 
-    Of rows with one doc_id one stays. Rows without a doc_id or without words stay.
+    Rows without a doc_id or without words (null, empty, blank) stay.  Rows that repeat
+    a doc_id and its text give one row; a doc_id with several texts stays with all of
+    them if one is the least of its component.  Very long texts are compared whole; an empty table gives
+    no rows; other columns are carried along and may have any name but ``__d``.
     """
     found = write_table(spark, components_of(spark, docs), "components")
-    out = broadcast_if_small(write_table(spark, found.where("component_id != doc_id").select(F.col("doc_id").alias("__d")).distinct(), "copies"))
+    out = broadcast_if_small(write_table(spark, found.groupBy(F.col("doc_id").alias("__d")).agg(F.max(F.col("component_id") == F.col("doc_id")).alias("own")).where("not own").select("__d"), "copies"))
     kept = docs.join(out, docs["doc_id"] == out["__d"], "left_anti")
     often = write_table(spark, found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias("__d")), "repeated")
     if often.isEmpty():
         return kept
     often = broadcast_if_small(often)
-    return kept.join(often, kept["doc_id"] == often["__d"], "left_anti").unionByName(kept.join(often, kept["doc_id"] == often["__d"], "left_semi").dropDuplicates(["doc_id"]))
+    return kept.join(often, kept["doc_id"] == often["__d"], "left_anti").unionByName(kept.join(often, kept["doc_id"] == often["__d"], "left_semi").dropDuplicates(["doc_id", "text"]))
