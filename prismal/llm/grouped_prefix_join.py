@@ -439,28 +439,106 @@ def _frequent(apart: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return slots[order].astype(np.int64), np.frexp(n[order].astype(np.float64))[1].astype(np.uint8)
 
 
-_OFFERS = "token long, x long, c long, n long, pos long, d binary"
+_OFFERS = "token long, v long, bundle long, x long, c long, size long"
 
 
 def _offers(crowd) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """_OFFERS for the first differences of (bundle, x, c, n, d): enough to meet every similar set that shares some."""
+    """_OFFERS for the first differences of (bundle, x, c, n, d): enough to meet every similar set that shares some.
+
+    Two sets that differ by T at most and first share what is at p and q have
+    p + q <= T, which is v + w <= 0 for their ``v``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, classes = crowd.value
         rank = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
         rank[slots] = classes
         for b in batches:
-            for bundle, x, c, n, d in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                token = _tokens(bundle, np.frombuffer(d, np.uint64))
-                token = token[np.argsort(token)]
-                token = token[np.argsort(rank[slot_of(token)], kind="stable")]
-                k = min(len(token), int(_apart(n, n * WHOLE // SHARE)) + 1)
-                column = lambda v, kind=pa.int64(), k=k: pa.array(np.full(k, v), kind)
-                yield pa.record_batch([pa.array(_signed(token[:k])), column(x), column(c), column(n), pa.array(np.arange(k)), pa.array([_signed(np.sort(token)).tobytes()] * k, pa.binary())], names=[y.split(" ")[0] for y in _OFFERS.split(", ")])
+            parts, length = [], []
+            n = b.column(3).to_numpy()
+            most = _apart(n, n * WHOLE // SHARE) + 1
+            d = b.column(4).to_pylist()
+            for bundle, x, k in zip(b.column(0).to_pylist(), d, most.tolist(), strict=True):
+                token = np.sort(_tokens(bundle, np.frombuffer(x, np.uint64)))
+                parts.append(token[np.argsort(rank[slot_of(token)], kind="stable")][:k])
+                length.append(len(parts[-1]))
+            length = np.array(length, dtype=np.int64)
+            pos = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            wide = lambda c, length=length: np.repeat(c, length)
+            v = (WHOLE + SHARE) * pos - (WHOLE - SHARE) * wide(n)
+            yield pa.record_batch(
+                [pa.array(_signed(np.concatenate([np.empty(0, np.uint64), *parts]))), pa.array(v), *(pa.array(wide(b.column(k).to_numpy())) for k in range(3)), pa.array(wide(np.fromiter(map(len, d), np.int64, len(d))))],
+                names=[y.split(" ")[0] for y in _OFFERS.split(", ")],
+            )
 
     return run
 
 
+_MET = "kind int, run long, bundle long, x long, size long"
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From _OFFERS by token and v: who meets in runs of several components.
+
+    Sets that can have no partner in their run, by its least v, are left out.  A run
+    of the others is named by them (kind 0), so that differences of the same sets
+    are one run; one of more than DIRECT sets or of too many bytes is passed on by
+    its token (kind 1), without being held.
+    """
+    names = [y.split(" ")[0] for y in _MET.split(", ")]
+
+    def rows(kind: int, run, bundle, x, size) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.full(len(x), kind, dtype=np.int32)), pa.array(run), pa.array(bundle), pa.array(x), pa.array(size)], names=names)
+
+    def told(token, v, bundle, x, c, size) -> Iterator[pa.RecordBatch]:
+        begin, length = _runs_of(token)
+        if not len(begin):
+            return
+        able = v <= -np.repeat(v[begin], length)
+        token, bundle, x, c, size = (y[able] for y in (token, bundle, x, c, size))
+        begin, length = _runs_of(token)
+        if not len(begin):
+            return
+        several = np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin)
+        large = (length > DIRECT) | ((np.add.reduceat(size, begin) > DIRECT_BYTES) & (length > PAIRED))
+        more = np.repeat(several & large, length)
+        if more.any():
+            yield rows(1, token[more], bundle[more], x[more], size[more])
+        few = np.repeat(several & ~large, length)
+        if few.any():
+            name = mix(np.add.reduceat(mix(x.view(np.uint64) + np.uint64(1)), begin) ^ mix(bundle[begin].view(np.uint64)))
+            name = np.repeat(_signed(name), length)[few]
+            bundle, x, size = bundle[few], x[few], size[few]
+            order = np.lexsort((x, name))
+            name, bundle, x, size = (y[order] for y in (name, bundle, x, size))
+            new = np.append(True, (name[1:] != name[:-1]) | (x[1:] != x[:-1]))
+            yield rows(0, name[new], bundle[new], x[new], size[new])
+
+    carry, open_run = None, None
+    for b in batches:
+        cols = [b.column(k).to_numpy() for k in range(6)]
+        if open_run is not None:
+            k = int(np.searchsorted(cols[0], open_run[0], "right"))
+            on = cols[1][:k] <= open_run[1]
+            if on.any():
+                yield rows(1, *(cols[i][:k][on] for i in (0, 2, 3, 5)))
+            cols = [y[k:] for y in cols]
+        if not len(cols[0]):
+            continue
+        open_run = None
+        if carry is not None:
+            cols = [np.concatenate(y) for y in zip(carry, cols, strict=True)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        yield from told(*(y[:cut] for y in cols))
+        on = cols[1][cut:] <= -cols[1][cut]
+        carry = [y[cut:][on] if on[0] else y[cut : cut + 1] for y in cols]
+        if len(carry[0]) > DIRECT:
+            yield rows(1, *(carry[i] for i in (0, 2, 3, 5)))
+            open_run, carry = (carry[0][0], -carry[1][0]), None
+    if carry is not None:
+        yield from told(*carry)
+
+
 def _common(sets: list[np.ndarray]) -> np.ndarray:
     """How much each two of the sets have in common."""
     who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -480,28 +558,14 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-_FOUND = "kind int, a long, b long, token long, size long"
-
-
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From _OFFERS by token: links (kind 0) between components, a forest of them for each run.
-
-    Two sets that differ by T at most and first share what is at p and q have p + q <= T.
-    Sets of a run that can have no partner by that are left out; a run of more than
-    DIRECT others is passed on (kind 1), without being held.
-    """
-    names = [y.split(" ")[0] for y in _FOUND.split(", ")]
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (run, x, c, n, d) by run: links between components, a forest of them for each run."""
 
-    def verified(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        x, c, n, pos = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(1, 5))
-        v = (WHOLE + SHARE) * pos - (WHOLE - SHARE) * n
-        able = np.flatnonzero(v + v.min() <= 0)
-        if len(able) < 2 or (c[able] == c[able[0]]).all():
-            return
-        x, c, n, v = x[able], c[able], n[able], v[able]
-        d = [np.frombuffer(rows[i][5], np.int64) for i in able]
+    def links(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        x, c, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 3))
+        d = [np.frombuffer(r[4], np.int64) for r in rows]
         size = np.array([len(s) for s in d])
-        i, j = np.nonzero(np.triu((c[:, None] != c) & (v[:, None] + v <= 0) & (size[:, None] + size - 2 * _common(d) <= _apart(n[:, None], n)), 1))
+        i, j = np.nonzero(np.triu((c[:, None] != c) & (size[:, None] + size - 2 * _common(d) <= _apart(n[:, None], n)), 1))
         up: dict[int, int] = {}
 
         def root(k: int) -> int:
@@ -509,43 +573,24 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 k = y
             return k
 
-        links = []
+        out = []
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             p, q = root(int(c[a])), root(int(c[b]))
             if p != q:
                 up[max(p, q)] = min(p, q)
-                links.append((min(x[a], x[b]), max(x[a], x[b])))
-        if links:
-            a, b = (np.array(y, dtype=np.int64) for y in zip(*links, strict=True))
-            zero = np.zeros(len(a), dtype=np.int64)
-            yield pa.record_batch([pa.array(zero, pa.int32()), pa.array(a), pa.array(b), pa.array(zero), pa.array(zero)], names=names)
-
-    def passed(rows: list[tuple]) -> pa.RecordBatch:
-        token, x, _, _, _, d = zip(*rows, strict=True)
-        return pa.record_batch([pa.array(np.ones(len(x)), pa.int32()), pa.array(x, pa.int64()), pa.array(x, pa.int64()), pa.array(token, pa.int64()), pa.array([len(y) for y in d], pa.int64())], names=names)
+                out.append((min(x[a], x[b]), max(x[a], x[b])))
+        if out:
+            yield pa.record_batch([pa.array([y[k] for y in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     held: list[tuple] = []
-    size, crowded = 0, False
     for b in batches:
-        for r in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+        for r in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
             if held and r[0] != held[0][0]:
-                if crowded:
-                    yield passed(held)
-                else:
-                    yield from verified(held)
-                held, size, crowded = [], 0, False
+                yield from links(held)
+                held = []
             held.append(r)
-            size += len(r[5])
-            if len(held) > DIRECT or (size > DIRECT_BYTES and len(held) > PAIRED):
-                crowded = True
-            if crowded and len(held) > 1:
-                yield passed(held[:-1])
-                held, size = held[-1:], 0
     if held:
-        if crowded:
-            yield passed(held)
-        else:
-            yield from verified(held)
+        yield from links(held)
 
 
 def _by_differences(spark: SparkSession, docs: DataFrame, bundles: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -557,20 +602,23 @@ def _by_differences(spark: SparkSession, docs: DataFrame, bundles: DataFrame, li
         apart = write_table(spark, pairs.select("leader", "x", "u", "v").mapInArrow(_differences, _DIFFERENCES), "differences")
         links = links.union(apart.where("near").select(F.least("leader", "x").alias("a"), F.greatest("leader", "x").alias("b")))
         nodes = components(spark, links, SMALL_EDGES)
-        rows = write_table(spark, _labelled(apart.select("bundle", "x", "n", "d"), nodes), "labelled")
-        rows = rows.join(broadcast_if_small(write_table(spark, _still_open(rows, ["bundle"]), "open")), "bundle").select("bundle", "x", "c", "n", "d")
+        names = write_table(spark, _labelled(apart.select("bundle", "x").distinct(), nodes), "labelled")
+        names = names.join(broadcast_if_small(write_table(spark, _still_open(names, ["bundle"]), "open")), "bundle")
+        rows = apart.select("bundle", "x", "n", "d").join(broadcast_if_small(names), ["bundle", "x"]).select("bundle", "x", "c", "n", "d")
         rows = write_table(spark, rows, "open-differences")
         if rows.isEmpty():
             return links
         crowd = spark.sparkContext.broadcast(_frequent(rows))
-        offers = rows.mapInArrow(_offers(crowd), _OFFERS).repartition(parts, "token").sortWithinPartitions("token")
-        found = write_table(spark, offers.mapInArrow(_search, _FOUND), "found")
-        links = links.union(write_table(spark, found.where("kind = 0").select("a", "b").distinct(), "found-links"))
+        offers = rows.mapInArrow(_offers(crowd), _OFFERS).repartition(parts, "token").sortWithinPartitions("token", "v")
+        met = write_table(spark, offers.mapInArrow(_meetings, _MET), "met")
+        runs = met.where("kind = 0").select("run", "bundle", "x").distinct().join(rows, ["bundle", "x"]).select("run", "x", "c", "n", "d")
+        found = runs.repartition(parts, "run").sortWithinPartitions("run").mapInArrow(_verify, "a long, b long")
+        links = links.union(write_table(spark, found.distinct(), "found-links"))
         nodes = components(spark, links, SMALL_EDGES)
         # Crowded runs go on with the set that differs least from their old leader.
-        more = _labelled(found.where("kind = 1").select("token", F.col("a").alias("x"), "size"), nodes)
-        lead = more.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("x", "size").alias("leader")).where("low != high").select("token", "leader")
-        bundles = write_table(spark, more.join(lead, "token").where("x != leader").select("leader", "x").distinct(), "bundles")
+        more = _labelled(met.where("kind = 1").select("run", "x", "size"), nodes)
+        lead = more.groupBy("run").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("x", "size").alias("leader")).where("low != high").select("run", "leader")
+        bundles = write_table(spark, more.join(lead, "run").where("x != leader").select("leader", "x").distinct(), "bundles")
         if bundles.isEmpty():
             return links
 
