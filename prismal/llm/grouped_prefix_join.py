@@ -45,7 +45,7 @@ HOT, SALTS = 8, 64
 #: Up to so many sets of a shingle are paired at once; more begin with leaders, so many.
 PAIRED = 8
 LEADERS = 4
-#: Runs of equal differences of more sets, or more bytes of them, get a leader of their own.
+#: Runs of more sets, or more bytes of differences, are not held in a task.
 DIRECT, DIRECT_BYTES = 1024, 1 << 25
 #: Bits of the filter that tells which sets verification needs.
 FILTER_BITS = 1 << 26
@@ -204,6 +204,11 @@ def _apart(n, m):
     return (WHOLE - SHARE) * (n + m) // (WHOLE + SHARE)
 
 
+def _reach(n, pos):
+    """v: sets that first share what is at ``pos`` can be similar only if their v add up to 0 at most."""
+    return (WHOLE + SHARE) * pos - (WHOLE - SHARE) * n
+
+
 def _runs_of(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(begin, length) of the runs in a sorted array."""
     begin = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.empty(0, np.int64)
@@ -230,7 +235,8 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From _POSTINGS by token: pairs of groups (kind 0) of small runs, the postings (kind 1) of others and of hot ones.
 
-    At most PAIRED rows of a run are held: what follows in a larger one is passed on.
+    A run is paired where it lies if few of its pairs can be similar by where they meet.
+    At most DIRECT rows of a run are held: what follows in a larger one is passed on.
     """
 
     def pairs(token, grp, sets, place) -> Iterator[pa.RecordBatch]:
@@ -251,7 +257,33 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = np.concatenate(left), np.concatenate(right)
             yield _pair_rows(0, *_distinct(np.minimum(grp[i], grp[j]), np.maximum(grp[i], grp[j])))
         if not few.all():
-            yield _pair_rows(1, grp[~few], grp[~few], token[~few], place[~few])
+            yield from larger(*(c[~few] for c in (token, grp, sets, place)))
+
+    def larger(token, grp, sets, place) -> Iterator[pa.RecordBatch]:
+        n, pos = place >> 32, place & 0xFFFFFFFF
+        v = _reach(n, pos)
+        begin, size = _runs_of(token)
+        able = v <= -np.repeat(np.minimum.reduceat(v, begin), size)
+        token, grp, sets, place, n, pos, v = (c[able] for c in (token, grp, sets, place, n, pos, v))
+        begin, size = _runs_of(token)
+        left, right, crowded = [], [], []
+        for s, m in zip(begin[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+            e = s + m
+            low = np.sort(v[s:e])
+            if m <= DIRECT and (np.searchsorted(low, -low, "right").sum() - (low <= 0).sum()) // 2 <= 4 * PAIRED * m:
+                i, j = (k + s for k in np.nonzero(np.triu(v[s:e, None] + v[s:e] <= 0, 1)))
+                ok = _may_match(n[i], pos[i], n[j], pos[j])
+                i, j = i[ok], j[ok]
+                if (sets[i].astype(np.int64) * sets[j]).sum() <= PAIRED * sets[s:e].sum():
+                    left.append(np.minimum(grp[i], grp[j]))
+                    right.append(np.maximum(grp[i], grp[j]))
+                    continue
+            crowded.append(np.arange(s, e))
+        if left:
+            yield _pair_rows(0, *_distinct(np.concatenate(left), np.concatenate(right)))
+        if crowded:
+            on = np.concatenate(crowded)
+            yield _pair_rows(1, grp[on], grp[on], token[on], place[on])
 
     carry, open_run = None, None
     for b in batches:
@@ -273,8 +305,8 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
         yield from pairs(*(c[:cut] for c in cols))
         carry = [c[cut:] for c in cols]
-        if len(carry[0]) > 1 and carry[2].sum() > PAIRED:
-            yield from pairs(*carry)
+        if len(carry[0]) > DIRECT:
+            yield _pair_rows(1, carry[1], carry[1], carry[0], carry[3])
             open_run, carry = carry[0][0], None
     if carry is not None:
         yield from pairs(*carry)
@@ -465,7 +497,7 @@ def _offers(crowd) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
             length = np.array(length, dtype=np.int64)
             pos = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
             wide = lambda c, length=length: np.repeat(c, length)
-            v = (WHOLE + SHARE) * pos - (WHOLE - SHARE) * wide(n)
+            v = _reach(wide(n), pos)
             yield pa.record_batch(
                 [pa.array(_signed(np.concatenate([np.empty(0, np.uint64), *parts]))), pa.array(v), *(pa.array(wide(b.column(k).to_numpy())) for k in range(3)), pa.array(wide(np.fromiter(map(len, d), np.int64, len(d))))],
                 names=[y.split(" ")[0] for y in _OFFERS.split(", ")],
