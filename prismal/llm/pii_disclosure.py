@@ -2,14 +2,17 @@
 
 E-mail addresses, IP addresses, card and phone numbers are found by pattern; each
 value is a protected entity.  From the corpus, a term's disclosure of an entity is
-its pointwise mutual information with the entity as a share of the entity's
-information content: PMI(e; t) / IC(e), from document counts of e, of t and of both.
-It is 1 where the term never appears without the entity.  In documents that hold
-the entity, terms above one threshold are generalised and above a higher one removed.
+the pointwise mutual information of both as a share of the entity's information
+content: PMI(e; t) / IC(e) = 1 + log P(e | t) / IC(e), from the numbers of texts
+(distinct pairs of doc_id and text) that hold e, t and both.  P(e | t) counts one unseen text more that has the
+term alone, so that an entity of any frequency is judged and a term seen once tells
+less than one seen always and only with it.  In texts that hold the entity, terms
+above one threshold are generalised and above a higher one removed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
 
@@ -37,10 +40,40 @@ _SPAN = "array<struct<start:int,ord:int,end:int,kind:string,value:string>>"
 
 @dataclass(frozen=True)
 class Disclosure:
-    generalise: float = 0.8
-    remove: float = 0.95
-    #: Documents that must hold entity and term together before they are judged.
-    support: int = 3
+    generalise: float = 0.9
+    remove: float = 0.97
+    #: Unseen texts with the term and without the entity.
+    unseen: float = 1.0
+
+
+#: Items that a scan adds up one by one, so that what it copies stays small.
+_CHUNK = 64
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _chunks(items: Column, size: int = _CHUNK) -> Column:
+    """``items`` cut into arrays of ``size``; none of an empty array."""
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(items, i, F.lit(size)))
+
+
+def _before(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each of the integers ``values`` what ``join`` makes of 0 and those before it."""
+    none = F.array().cast("array<int>")
+
+    def scan(items: Column, first: Column) -> Column:
+        step = lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(items, F.struct(first.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def of(chunks: Column) -> Column:
+        whole = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), join))
+        return F.flatten(F.zip_with(chunks, scan(whole, F.lit(0)), scan))
+
+    return _let(_let(values, lambda v: _chunks(v)), of)
 
 
 def _luhn(digits: Column) -> Column:
@@ -68,16 +101,19 @@ def _located(text: Column, pattern: Column, order: Column | int, kind: Column |
     """Spans of all matches of ``pattern``: what lies between matches tells where they are."""
     order, kind = (F.lit(x) if not isinstance(x, Column) else x for x in (order, kind))
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), lambda g: F.length(g))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gaps"]
-        end = start + F.length(x["hits"])
-        span = F.struct(start.alias("start"), order.alias("ord"), end.alias("end"), kind.alias("kind"), x["hits"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).cast(_SPAN).alias("spans"))
+    def spans(x: Column) -> Column:
+        moves = F.zip_with(x["hits"], F.slice(x["gaps"], F.lit(1), F.size(x["hits"])), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
+        at = _before(F.transform(moves, lambda m: m["gap"] + F.length(m["hit"])), lambda p, q: p + q)
 
-    return F.aggregate(F.arrays_zip(hits.alias("hits"), gaps.alias("gaps")), empty, step, lambda acc: acc["spans"])
+        def span(m: Column, before: Column) -> Column:
+            start = before + m["gap"]
+            return F.struct(start.alias("start"), order.alias("ord"), (start + F.length(m["hit"])).alias("end"), kind.alias("kind"), m["hit"].alias("value"))
+
+        return F.zip_with(moves, at, span).cast(_SPAN)
+
+    return _let(F.struct(hits.alias("hits"), gaps.alias("gaps")), spans)
 
 
 def base_spans(text: Column) -> Column:
@@ -103,123 +139,142 @@ def _entity(span: Column) -> Column:
 _WORD = r"[\p{L}][\p{L}\p{M}'-]+"
 
 
+def _hashed(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda w: F.lower(w)))
+    """Hashes of the distinct words, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), _hashed))
+
 
+def _spelled(text: Column, base: Column, pieces: Column, sizes: tuple[int, ...]) -> Column:
+    """``text[at:start] + mark`` of all pieces; ``text`` begins at ``base``.  It is cut into blocks first, so that no piece is sought from its begin."""
+    if not sizes:
+        return F.array_join(F.transform(pieces, lambda s: F.concat(F.substring(text, s["at"] - base + 1, s["start"] - s["at"]), s["mark"])), "")
 
-def _outside(text: Column, spans: Column) -> Column:
-    """``text`` with a blank for each span."""
+    def block(c: Column) -> Column:
+        low = c[0]["at"]
+        part = F.struct(F.substring(text, low - base + 1, F.element_at(c, -1)["start"] - low).alias("text"), low.alias("low"), c.alias("pieces"))
+        return _let(part, lambda x: _spelled(x["text"], x["low"], x["pieces"], sizes[1:]))
 
-    def step(acc: Column, s: Column) -> Column:
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(" "))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    return F.array_join(F.transform(_chunks(pieces, sizes[0]), block), "")
 
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+def _replaced(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
+    """``text`` with ``mark`` for each span; of overlapping spans the first counts and what they cover goes."""
+
+    def pieces(x: Column) -> Column:
+        at = _before(F.transform(x, lambda s: s["end"]), lambda p, q: F.greatest(p, q))
+        made = F.zip_with(x, at, lambda s, a: F.struct(a.alias("at"), s["start"].alias("start"), mark(s).alias("mark")))
+        return F.filter(made, lambda s: s["start"] >= s["at"])
+
+    head = _let(_let(spans, pieces), lambda p: _spelled(text, F.lit(0), p, (32 * _CHUNK, _CHUNK)))
+    return F.concat(head, F.substring(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text)))
 
 
 def disclosing_terms(spark: SparkSession, docs: DataFrame, found: DataFrame, how: Disclosure) -> DataFrame:
-    """entity, term, disclosure of the pairs that reach the lower threshold.
+    """entity, term, disclosure of the pairs that reach the lower threshold; terms and entities are hashes.
 
-    ``found`` has doc_id, text_hash, entities and words, those of the whole text outside
-    of entities, of the texts that hold an entity.  All its counts are of distinct texts
-    of the corpus.
+    ``found`` has text_hash, entities and words, those of the whole text outside of
+    entities, of each distinct text that holds an entity.  All counts are of distinct
+    (doc_id, text) of the corpus.  Entities of the same texts are one here (``entity`` is their
+    common name), so a text of many entities does not multiply its words with them.
     """
-    seen = found.select("doc_id", "text_hash", F.explode("entities").alias("entity"), "words")
-    entities = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= how.support)
-    pairs = seen.join(entities, "entity").select("entity", "n_entity", F.explode("words").alias("term"))
-    pairs = write_table(spark, pairs.groupBy("entity", "n_entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= how.support), "entity-terms")
-    if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    terms = broadcast_if_small(pairs.select("term").distinct())
-    # Distinct words of each text meet the candidate terms before anything is shuffled.
-    spread = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
-    counts = spread.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = docs.count()
-    pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
-    content = -F.log2(F.col("n_entity") / F.lit(float(total)))
-    judged = pairs.join(counts, "term").withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(0.0))
-    return judged.where(F.col("disclosure") >= how.generalise).select("entity", "term", "disclosure")
+    seen = found.select("text_hash", F.explode("entities").alias("value"))
+    names = seen.groupBy("value").agg(F.count(F.lit(1)).alias("n_entity"), F.bit_xor(F.xxhash64("text_hash", F.lit(1))).alias("p"), F.bit_xor(F.xxhash64("text_hash", F.lit(2))).alias("q"))
+    names = names.select("value", "n_entity", F.xxhash64("p", "q", "n_entity").alias("entity"))
+    held = write_table(spark, seen.join(names, "value").select("text_hash", "entity", "n_entity").distinct(), "entities")
+    pairs = held.join(found.select("text_hash", F.explode("words").alias("term")), "text_hash")
+    pairs = write_table(spark, pairs.groupBy("entity", "n_entity", "term").agg(F.count(F.lit(1)).alias("n_both")), "entity-terms")
+    texts = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("text_hash"), "text")
+    copies = write_table(spark, texts.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
+    # A text of k copies counts 1 / k in each.
+    once = texts.join(broadcast_if_small(copies), "text_hash", "left").select(_terms(F.col("text")).alias("words"), F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("share"))
+    counts = once.select(F.explode("words").alias("term"), "share").groupBy("term").agg(F.round(F.sum("share")).alias("n_term"))
+    total = float(texts.select("text_hash").distinct().count())
+    content = -F.log2(F.col("n_entity") / F.lit(total))
+    told = F.log2(F.col("n_both") / (F.col("n_term") + F.lit(how.unseen)))
+    judged = pairs.join(counts, "term").withColumn("disclosure", F.when(content > 0, 1 + told / content).otherwise(0.0))
+    risky = judged.where(F.col("disclosure") >= how.generalise).select("entity", "term", "disclosure")
+    return held.select("text_hash", "entity").join(risky, "entity").select("text_hash", "entity", "term", "disclosure")
 
 
 def find(spark: SparkSession, docs: DataFrame, how: Disclosure = Disclosure()) -> tuple[DataFrame, DataFrame]:
     """(rows, marked): base spans of every row, and the disclosing terms of the texts that have some.
 
-    ``rows``: doc_id, text_hash, base.  ``marked``: one row for each (doc_id,
-    text_hash) with ``terms``, an array of struct(term, remove).
+    ``rows``: doc_id, text_hash, base.  ``marked``: one row for each text_hash with
+    ``terms``, an array of struct(term, remove), of hashed terms.  text_hash is of
+    doc_id and text.
     """
     docs = pick(docs, ["doc_id", "text"])
-    spans = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", base_spans(F.col("text")).alias("base"))
+    spans = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_hash"), "text", base_spans(F.col("text")).alias("base"))
 
-    entities = F.array_distinct(F.transform("base", _entity))
-    words = F.when(F.size("base") > 0, _terms(_outside(F.col("text"), F.col("base")))).otherwise(F.array().cast("array<string>"))
+    entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(_entity(s))))
+    words = F.when(F.size("base") > 0, _terms(_replaced(F.col("text"), F.col("base"), lambda s: F.lit(" ")))).otherwise(F.array().cast("array<bigint>"))
     rows = write_table(spark, spans.select("doc_id", "text_hash", "base", entities.alias("entities"), words.alias("words")), "base-spans")
-    found = rows.where(F.size("base") > 0).select("doc_id", "text_hash", "entities", "words").dropDuplicates(["doc_id", "text_hash"])
-    risky = write_table(spark, disclosing_terms(spark, docs, found, how), "disclosing-terms")
-    held = found.select("doc_id", "text_hash", F.explode("entities").alias("entity"))
-    marks = held.join(risky, "entity").groupBy("doc_id", "text_hash", "term").agg(F.max("disclosure").alias("d"))
-    marked = marks.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("d") >= how.remove).alias("remove")))).alias("terms"))
+    found = write_table(spark, rows.where(F.size("base") > 0).select("text_hash", "entities", "words").dropDuplicates(["text_hash"]), "found")
+    risky = disclosing_terms(spark, docs, found, how)
+    marks = risky.groupBy("text_hash", "term").agg(F.max("disclosure").alias("d"))
+    marked = marks.groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("d") >= how.remove).alias("remove")))).alias("terms"))  # words of one text
     return rows.drop("entities", "words"), write_table(spark, marked, "marked")
 
 
 def _term_spans(text: Column, terms: Column) -> Column:
     """Spans of whole words that are marked terms, of kind ``term``; ``value`` says remove or generalise."""
-    any_of = F.concat_ws("|", F.transform(terms, lambda t: F.concat(F.lit("\\Q"), t["term"], F.lit("\\E"))))
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}'-])(?:"), any_of, F.lit(r")(?![\p{L}\p{M}'-])"))
     gone = F.transform(F.filter(terms, lambda t: t["remove"]), lambda t: t["term"])
-    return F.transform(_located(text, pattern, len(KINDS), "term"), lambda s: F.struct(s["start"], s["ord"], s["end"], s["kind"], F.when(F.array_contains(gone, F.lower(s["value"])), "remove").otherwise("generalise").alias("value")).cast(_SPAN[6:-1]))
+    mild = F.transform(F.filter(terms, lambda t: ~t["remove"]), lambda t: t["term"])
 
+    def named(x: Column) -> Column:
+        words = _located(text, F.lit(_WORD), len(KINDS), "term")
+        what = lambda s: F.when(F.array_contains(x["mild"], _hashed(s["value"])), "generalise").when(F.array_contains(x["gone"], _hashed(s["value"])), "remove").otherwise("")
+        told = F.transform(words, lambda s: F.struct(s["start"], s["ord"], s["end"], s["kind"], what(s).alias("value")).cast(_SPAN[6:-1]))
+        return F.filter(told, lambda s: s["value"] != "")
 
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["d"]) & (a["text_hash"] == b["h"])
+    return _let(F.struct(gone.alias("gone"), mild.alias("mild")), named)
 
 
 def _marked_texts(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """d, h, spans of the texts that have marked terms; the others stay where they are."""
-    marked = broadcast_if_small(marked.withColumnsRenamed({"doc_id": "d", "text_hash": "h"}))
-    texts = pick(docs, ["doc_id", "text"]).withColumn("text_hash", F.xxhash64("text"))
-    hit = texts.join(marked, _same(texts, marked)).dropDuplicates(["d", "h"])
-    return hit.select("d", "h", _term_spans(F.col("text"), F.col("terms")).alias("terms"))
+    """h, terms: the spans of each distinct text that has marked terms; the others stay where they are."""
+    marked = broadcast_if_small(marked.withColumnsRenamed({"text_hash": "h", "terms": "words"}))
+    texts = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("text_hash"))
+    hit = texts.join(marked, texts["text_hash"] == marked["h"]).dropDuplicates(["h"])
+    return hit.select("h", _term_spans(F.col("text"), F.col("words")).alias("terms"))
 
 
 def report(spark: SparkSession, docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term for each row of ``docs``.
 
     Null and empty texts have no spans (the digest of the empty string); very long
-    texts are searched whole; repeated rows are reported each, and rows of one doc_id
-    and text count once in the corpus counts; an empty table gives no rows; other
-    columns are not read.  Equal starts are listed by kind.
+    texts are searched whole, in time that grows with their length; repeated rows are
+    reported each, and rows of one doc_id and text count once in the corpus counts; an empty table
+    gives no rows; other columns are not read.  Equal starts are listed by kind.
     """
     rows, marked = find(spark, docs, how)
     terms = broadcast_if_small(write_table(spark, _marked_texts(docs, marked), "term-spans"))
-    out = rows.join(terms, _same(rows, terms), "left")
+    out = rows.join(terms, rows["text_hash"] == terms["h"], "left")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     spans = F.array_sort(F.concat(F.col("base"), F.coalesce("terms", F.array().cast(_SPAN))))
     return out.select("doc_id", *[count(k) for k in _ORDER], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(spans).alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term"))
 
 
-def _replaced(text: Column, spans: Column) -> Column:
-    """``text`` with each span replaced; of overlapping spans the first counts and what they cover goes."""
-    by = F.lit("")
-
-    def step(acc: Column, s: Column) -> Column:
-        mark = F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(s["value"] == "remove", "").otherwise("[TERM]")
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mark)
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.when(fresh, s["end"]).otherwise(F.greatest(acc["at"], s["end"])).alias("at"), F.when(fresh, out).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), by.alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+def _sign(s: Column) -> Column:
+    return F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(s["value"] == "remove", "").otherwise("[TERM]")
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     """``docs`` with all its columns; in ``text`` entities become ``[KIND]`` and terms ``[TERM]`` or nothing.
 
-    ``n_chars``, where there is one, follows the text. Rows without spans are unchanged.
+    ``n_chars``, where there is one, follows the text.  Rows without spans, null and
+    empty texts are unchanged; repeated rows change alike and all stay; very long
+    texts take time in proportion; an empty table gives no rows; other columns may
+    have any name but ``__h``, ``__terms`` and ``__spans``.
     """
     _, marked = find(spark, docs, how)
-    terms = broadcast_if_small(write_table(spark, _marked_texts(docs, marked), "term-spans").withColumnsRenamed({"d": "__d", "h": "__h", "terms": "__terms"}))
-    out = docs.join(terms, docs["doc_id"].eqNullSafe(terms["__d"]) & (F.xxhash64(docs["text"]) == terms["__h"]), "left")
+    terms = broadcast_if_small(write_table(spark, _marked_texts(docs, marked), "term-spans").withColumnsRenamed({"h": "__h", "terms": "__terms"}))
+    out = docs.join(terms, F.xxhash64(docs["doc_id"], docs["text"]) == terms["__h"], "left")
     out = out.withColumn("__spans", F.array_sort(F.concat(base_spans(F.col("text")), F.coalesce("__terms", F.array().cast(_SPAN)))))
-    out = out.withColumn("text", F.when(F.size("__spans") > 0, _replaced(F.col("text"), F.col("__spans"))).otherwise(F.col("text")))
+    out = out.withColumn("text", F.when(F.size("__spans") > 0, _replaced(F.col("text"), F.col("__spans"), _sign)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

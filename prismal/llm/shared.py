@@ -6,12 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A join side is broadcast only when it has at most so many rows (each row of
-#: at most a few hundred bytes); beyond that the join shuffles on its key.
-BROADCAST_ROWS = 100_000
+#: A join side is broadcast only when it has at most so many rows and bytes; beyond
+#: that the join shuffles on its key.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -34,9 +34,22 @@ def write_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when counting shows it has at most ``limit`` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _width(name: str, kind: str) -> Column:
+    """About the bytes of a value."""
+    if kind in ("string", "binary"):
+        return F.octet_length(name)
+    if kind.startswith(("array", "map", "struct")):
+        return F.octet_length(F.to_json(F.struct(name)))
+    return F.lit(8)
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast when counting shows it has at most ``limit`` rows and ``most`` bytes."""
+    width = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        width += F.coalesce(_width(f"`{name}`", kind), F.lit(0))
+    rows, size = df.limit(limit + 1).select(width.alias("w")).agg(F.count(F.lit(1)), F.sum("w")).first()
+    return F.broadcast(df) if rows <= limit and (size or 0) <= most else df
 
 
 def pick(df: DataFrame, columns: Iterable[str]) -> DataFrame:
