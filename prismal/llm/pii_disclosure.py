@@ -19,7 +19,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, pick, write_table
+from .shared import SLICE, before, broadcast_if_small, let, pick, slices, write_table
 
 #: Patterns of the kinds, in the order in which equal starts are listed.  They match
 #: what ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+`` and so on match, but never
@@ -46,36 +46,6 @@ class Disclosure:
     unseen: float = 1.0
 
 
-#: Items that a scan adds up one by one, so that what it copies stays small.
-_CHUNK = 64
-
-
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def _chunks(items: Column, size: int = _CHUNK) -> Column:
-    """``items`` cut into arrays of ``size``; none of an empty array."""
-    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(items, i, F.lit(size)))
-
-
-def _before(values: Column, join: Callable[[Column, Column], Column]) -> Column:
-    """For each of the integers ``values`` what ``join`` makes of 0 and those before it."""
-    none = F.array().cast("array<int>")
-
-    def scan(items: Column, first: Column) -> Column:
-        step = lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-        return F.aggregate(items, F.struct(first.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-
-    def of(chunks: Column) -> Column:
-        whole = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), join))
-        return F.flatten(F.zip_with(chunks, scan(whole, F.lit(0)), scan))
-
-    return _let(_let(values, lambda v: _chunks(v)), of)
-
-
 def _luhn(digits: Column) -> Column:
     n = F.length(digits)
     values = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(digits, i, F.lit(1)).cast("int") * F.when((n - i) % 2 == 1, 2).otherwise(1))
@@ -105,7 +75,7 @@ def _located(text: Column, pattern: Column, order: Column | int, kind: Column |
 
     def spans(x: Column) -> Column:
         moves = F.zip_with(x["hits"], F.slice(x["gaps"], F.lit(1), F.size(x["hits"])), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-        at = _before(F.transform(moves, lambda m: m["gap"] + F.length(m["hit"])), lambda p, q: p + q)
+        at = before(F.transform(moves, lambda m: m["gap"] + F.length(m["hit"])), lambda p, q: p + q)
 
         def span(m: Column, before: Column) -> Column:
             start = before + m["gap"]
@@ -113,7 +83,7 @@ def _located(text: Column, pattern: Column, order: Column | int, kind: Column |
 
         return F.zip_with(moves, at, span).cast(_SPAN)
 
-    return _let(F.struct(hits.alias("hits"), gaps.alias("gaps")), spans)
+    return let(F.struct(hits.alias("hits"), gaps.alias("gaps")), spans)
 
 
 def base_spans(text: Column) -> Column:
@@ -156,20 +126,20 @@ def _spelled(text: Column, base: Column, pieces: Column, sizes: tuple[int, ...])
     def block(c: Column) -> Column:
         low = c[0]["at"]
         part = F.struct(F.substring(text, low - base + 1, F.element_at(c, -1)["start"] - low).alias("text"), low.alias("low"), c.alias("pieces"))
-        return _let(part, lambda x: _spelled(x["text"], x["low"], x["pieces"], sizes[1:]))
+        return let(part, lambda x: _spelled(x["text"], x["low"], x["pieces"], sizes[1:]))
 
-    return F.array_join(F.transform(_chunks(pieces, sizes[0]), block), "")
+    return F.array_join(F.transform(slices(pieces, sizes[0]), block), "")
 
 
 def _replaced(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
     """``text`` with ``mark`` for each span; of overlapping spans the first counts and what they cover goes."""
 
     def pieces(x: Column) -> Column:
-        at = _before(F.transform(x, lambda s: s["end"]), lambda p, q: F.greatest(p, q))
+        at = before(F.transform(x, lambda s: s["end"]), lambda p, q: F.greatest(p, q))
         made = F.zip_with(x, at, lambda s, a: F.struct(a.alias("at"), s["start"].alias("start"), mark(s).alias("mark")))
         return F.filter(made, lambda s: s["start"] >= s["at"])
 
-    head = _let(_let(spans, pieces), lambda p: _spelled(text, F.lit(0), p, (32 * _CHUNK, _CHUNK)))
+    head = let(let(spans, pieces), lambda p: _spelled(text, F.lit(0), p, (32 * SLICE, SLICE)))
     return F.concat(head, F.substring(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text)))
 
 
@@ -231,7 +201,7 @@ def _term_spans(text: Column, terms: Column) -> Column:
         told = F.transform(words, lambda s: F.struct(s["start"], s["ord"], s["end"], s["kind"], what(s).alias("value")).cast(_SPAN[6:-1]))
         return F.filter(told, lambda s: s["value"] != "")
 
-    return _let(F.struct(gone.alias("gone"), mild.alias("mild")), named)
+    return let(F.struct(gone.alias("gone"), mild.alias("mild")), named)
 
 
 def _marked_texts(docs: DataFrame, marked: DataFrame) -> DataFrame:

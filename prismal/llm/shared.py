@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +57,36 @@ def pick(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+#: Items that a scan adds up one by one, so that what it copies stays small.
+SLICE = 64
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def slices(items: Column, size: int = SLICE) -> Column:
+    """``items`` cut into arrays of ``size``; none of an empty array."""
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(items, i, F.lit(size)))
+
+
+def before(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each of the integers ``values`` what ``join`` makes of 0 and those before it."""
+    none = F.array().cast("array<int>")
+
+    def scan(items: Column, first: Column) -> Column:
+        step = lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(items, F.struct(first.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def of(chunks: Column) -> Column:
+        whole = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), join))
+        return F.flatten(F.zip_with(chunks, scan(whole, F.lit(0)), scan))
+
+    return let(let(values, lambda v: slices(v)), of)
+
+
 def ensure_importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver did."""
     import os

@@ -3,8 +3,10 @@
 Each word becomes itself in lower case or a typed placeholder: NUM (begins with a
 digit), NAME (has a capital), UNIT (a unit of measure).  Windows of such words are
 hashed and joined with those of the benchmark, so a question whose numbers and
-names were changed still meets its original.  A meeting counts when enough windows
-lie on one alignment and every slot of the original keeps one value there.
+names were changed still meets its original.  A window that is nearly all
+placeholders is hashed by its words instead, so that its copies meet it and nothing
+else does.  A meeting counts when enough windows lie on one alignment and every slot
+of the original keeps one value there.
 """
 
 from __future__ import annotations
@@ -12,10 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, pick, write_table
+from .shared import before, broadcast_if_small, pick, write_table
 
-#: Words in a window, and how many of them must be no placeholder.
+#: Words in a window, and how many of them must be no placeholder; with fewer (of a
+#: shorter window: with any) it is known by its words alone.
 WINDOW, LITERALS = 8, 4
+#: An item of fewer words is found only where it is all of a text.
+SHORT = 5
 #: Windows on one alignment: six are 13 words in a row; a shorter item must match whole.
 MATCHES = 6
 
@@ -41,43 +46,65 @@ def template(word: Column) -> Column:
     return F.when((word >= "0") & (word < ":"), "NUM").when(F.lower(word) != word, "NAME").when(word.isin(UNITS), "UNIT").otherwise(word)
 
 
-def _windows(words: Column, hashes: Column, width: int) -> Column:
-    """array of struct(at, hash), at from 1."""
-    n = F.size(words)
-    return F.when(n >= width, F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(hashes, i, F.lit(width))).alias("hash")))).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
+def _is_literal(canon: Column) -> Column:
+    return ~canon.isin("NUM", "NAME", "UNIT")
+
+
+def _parts(raw: Column) -> list[Column]:
+    """What windows are made of: hashes of the templates, hashes of the words, and literal words before each place."""
+    literal = F.transform(raw, lambda w: _is_literal(template(w)).cast("int"))
+    upto = F.concat(before(literal, lambda p, q: p + q), F.array(F.aggregate(literal, F.lit(0), lambda p, q: p + q)))
+    return [F.transform(raw, lambda w: F.xxhash64(template(w))).alias("kinds"), F.transform(raw, lambda w: F.xxhash64(F.lower(w))).alias("words"), upto.alias("upto")]
+
+
+def _windows(width: Column | int) -> Column:
+    """array of struct(at, width, hash) from ``raw`` and its ``_parts``, at from 1."""
+    n, w = F.size("raw"), width if isinstance(width, Column) else F.lit(width)
+
+    def window(i: Column) -> Column:
+        literal = F.element_at("upto", i + w) - F.element_at("upto", i)
+        known = F.when(literal >= F.least(F.lit(LITERALS), w), F.xxhash64(F.lit(1), F.slice("kinds", i, w))).otherwise(F.xxhash64(F.lit(2), F.slice("words", i, w)))
+        return F.struct(i.alias("at"), w.cast("int").alias("width"), known.alias("hash"))
+
+    return F.when(n >= w, F.transform(F.sequence(F.lit(1), n - w + 1), window)).otherwise(F.array().cast("array<struct<at:int,width:int,hash:bigint>>"))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """hash, width, item_id, item_at, item_windows, item_words of each window; items of one template are the least of them.
+    """hash, width, item_id, item_at, item_raw, item_canon, item_size, item_windows of each window.
 
-    Items shorter than a window are one window of their own width.
+    Items shorter than a window are one window of their own width.  Items of one
+    template whose slots repeat alike are the least of them, if no window of theirs is
+    known by its words.
     """
     items = pick(benchmark, ["item_id", "text"]).select("item_id", raw_words(F.col("text")).alias("raw")).where(F.size("raw") > 0)
-    items = items.withColumn("canon", F.transform("raw", template)).groupBy("canon").agg(F.min_by("raw", "item_id").alias("raw"), F.min("item_id").alias("item_id"))
-    width = F.least(F.size("raw"), F.lit(WINDOW))
-    items = items.withColumn("hashes", F.transform("canon", lambda w: F.xxhash64(w))).withColumn("width", width)
-    items = items.withColumn("w", F.explode(F.transform(F.sequence(F.lit(1), F.size("raw") - F.col("width") + 1), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("hashes", i, F.col("width"))).alias("hash"), F.slice("raw", i, F.col("width")).alias("raw"), F.slice("canon", i, F.col("width")).alias("canon")))))
-    literal = F.size(F.filter("w.canon", lambda w: ~w.isin("NUM", "NAME", "UNIT")))
-    rows = items.where(literal >= F.least(F.lit(LITERALS), F.col("width")))
-    out = rows.select(F.col("w.hash").alias("hash"), "width", "item_id", F.col("w.at").alias("item_at"), F.col("w.raw").alias("item_raw"), F.col("w.canon").alias("item_canon"))
-    count = out.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
-    return out.join(count, "item_id")
+    items = items.withColumn("canon", F.transform("raw", template)).withColumn("width", F.least(F.size("raw"), F.lit(WINDOW)))
+    literal = lambda i: F.size(F.filter(F.slice("canon", i, F.col("width")), _is_literal))
+    worded = F.exists(F.sequence(F.lit(1), F.size("raw") - F.col("width") + 1), lambda i: literal(i) < F.least(F.lit(LITERALS), F.col("width")))
+    pattern = F.transform("raw", lambda w: F.when(_is_literal(template(w)), 0).otherwise(F.array_position("raw", w)).cast("int"))
+    same = F.when(worded, F.transform("raw", lambda w: F.lower(w)))
+    items = items.groupBy("canon", "width", pattern.alias("pattern"), same.alias("same")).agg(F.min_by("raw", "item_id").alias("raw"), F.min("item_id").alias("item_id"))
+    items = items.select("item_id", "raw", "canon", "width", *_parts(F.col("raw"))).select("item_id", "raw", "canon", F.explode(_windows(F.col("width"))).alias("w"))
+    rows = items.select(
+        F.col("w.hash").alias("hash"), F.col("w.width").alias("width"), "item_id", F.col("w.at").alias("item_at"), F.slice("raw", F.col("w.at"), F.col("w.width")).alias("item_raw"),
+        F.slice("canon", F.col("w.at"), F.col("w.width")).alias("item_canon"), F.size("raw").alias("item_size"), (F.size("raw") - F.col("w.width") + 1).cast("long").alias("item_windows"),
+    )
+    return rows
 
 
 def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, shift, n_windows, item_windows of each alignment that counts."""
     bench = write_table(spark, benchmark_windows(benchmark), "benchmark-windows")
-    widths = [r["width"] for r in bench.select("width").distinct().collect()]  # WINDOW values at most
-    words = pick(docs, ["doc_id", "text"]).select("doc_id", F.xxhash64("text").alias("text_hash"), raw_words(F.col("text")).alias("raw"))
-    words = words.withColumn("hashes", F.transform("raw", lambda w: F.xxhash64(template(w))))
-    found = None
-    for width in sorted(widths):
-        side = broadcast_if_small(bench.where(F.col("width") == width).drop("width"))
-        rows = words.select("doc_id", "text_hash", "raw", F.explode(_windows(F.col("raw"), F.col("hashes"), width)).alias("w"))
-        hit = rows.join(side, rows["w.hash"] == side["hash"]).select("doc_id", "text_hash", "item_id", "item_at", (F.col("w.at") - F.col("item_at")).alias("shift"), "item_windows", "item_raw", "item_canon", F.slice("raw", F.col("w.at"), F.lit(width)).alias("doc_raw"))
-        found = hit if found is None else found.union(hit)
-    if found is None:
+    widths = sorted(r["width"] for r in bench.select("width").distinct().collect())  # WINDOW values at most
+    if not widths:
         return spark.createDataFrame([], "doc_id long, text_hash long, item_id long, shift int, n_windows long, item_windows long")
+    side = broadcast_if_small(bench)
+    words = pick(docs, ["doc_id", "text"]).select("doc_id", F.xxhash64("text").alias("text_hash"), raw_words(F.col("text")).alias("raw"))
+    words = words.select("doc_id", "text_hash", "raw", *_parts(F.col("raw")))
+    # A width below SHORT is asked of texts of that size only.
+    asked = [_windows(w) if w >= SHORT else F.when(F.size("raw") == w, _windows(w)).otherwise(F.array().cast("array<struct<at:int,width:int,hash:bigint>>")) for w in widths]
+    rows = words.select("doc_id", "text_hash", "raw", F.explode(F.concat(*asked)).alias("w"))
+    met = rows.join(side, (rows["w.hash"] == side["hash"]) & (rows["w.width"] == side["width"]))
+    found = met.select("doc_id", "text_hash", "item_id", "item_at", (F.col("w.at") - F.col("item_at")).alias("shift"), "item_windows", "item_raw", "item_canon", F.slice("raw", F.col("w.at"), F.col("w.width")).alias("doc_raw"))
     found = write_table(spark, found, "template-hits")
     by = ["doc_id", "text_hash", "item_id", "shift"]
     enough = found.groupBy(*by).agg(F.count_distinct("item_at").alias("n_windows"), F.first("item_windows").alias("item_windows")).where((F.col("n_windows") >= MATCHES) | (F.col("n_windows") >= F.col("item_windows")))
@@ -94,10 +121,14 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     """doc_id, text_hash, contaminated, n_windows, item_ids for each row of ``docs`` (doc_id, text).
 
     A text is contaminated when an alignment with an item has at least six matching
-    windows of eight words (all, if the item has fewer) and its slots are consistent:
+    windows of eight words (all, if the item has fewer; an item of fewer than five
+    words must be the whole text) and its slots are consistent:
     no slot value of the item stands for two values in the text, one at most excepted
-    where names begin sentences.  ``item_ids`` is sorted, null where clean; items
-    that differ in slots only are reported as the least of them.  Null, empty and
+    where names begin sentences.  Windows of fewer than four literal words match word
+    by word, without regard to case; so copies of items that are mostly numbers or
+    names are found, and their re-parameterised forms are not.  A text all in capitals
+    has no literal words.  ``item_ids`` is sorted, null where clean; items that differ
+    in slot values only are reported as the least of them.  Null, empty and
     shorter texts are clean; null items and items without words match nothing; rows
     of one doc_id and text are judged together and each returned; an empty table
     gives no rows; other columns are not read.
@@ -114,7 +145,12 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, without contaminated rows."""
+    """``docs`` with all its columns, without contaminated rows.
+
+    Null, empty and short texts stay, as do all texts if the benchmark is empty; rows
+    of one doc_id and text go or stay together; very long texts are searched whole; an
+    empty table gives no rows; other columns may have any name but ``__d`` and ``__h``.
+    """
     found = matches(spark, docs, benchmark).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct()
     flagged = broadcast_if_small(write_table(spark, found, "contaminated"))
     return docs.join(flagged, docs["doc_id"].eqNullSafe(flagged["__d"]) & (F.xxhash64(docs["text"]) == flagged["__h"]), "left_anti")
@@ -128,14 +164,18 @@ def contamination_sql() -> str:
     canon = f"list_transform(raw, lambda w: CASE WHEN w >= '0' AND w < ':' THEN 'NUM' WHEN lower(w) <> w THEN 'NAME' WHEN w IN ({units}) THEN 'UNIT' ELSE w END)"
     slot = "('NUM', 'NAME', 'UNIT')"
     return f"""WITH i0 AS (SELECT item_id, {raw} AS raw FROM benchmark), i1 AS (SELECT item_id, raw, {canon} AS canon FROM i0 WHERE len(raw) > 0),
-i2 AS (SELECT canon, arg_min(raw, item_id) AS raw, min(item_id) AS item_id FROM i1 GROUP BY canon),
-i3 AS (SELECT item_id, raw, canon, least(len(raw), {WINDOW}) AS width, unnest(range(1, len(raw) - least(len(raw), {WINDOW}) + 2)) AS item_at FROM i2),
-i4 AS (SELECT item_id, width, item_at, raw[item_at : item_at + width - 1] AS item_raw, canon[item_at : item_at + width - 1] AS item_canon FROM i3),
-i5 AS (SELECT item_id, width, item_at, item_raw, item_canon, array_to_string(item_canon, chr(1)) AS k FROM i4 WHERE len(list_filter(item_canon, lambda w: w NOT IN {slot})) >= least({LITERALS}, width)),
+iw AS (SELECT item_id, raw, canon, least(len(raw), {WINDOW}) AS width, list_transform(raw, lambda w: lower(w)) AS low FROM i1),
+ix AS (SELECT *, len(list_filter(range(1, len(raw) - width + 2), lambda i: len(list_filter(canon[i : i + width - 1], lambda w: w NOT IN {slot})) < least({LITERALS}, width))) > 0 AS worded,
+  list_transform(range(1, len(raw) + 1), lambda i: CASE WHEN canon[i] IN {slot} THEN list_position(raw, raw[i]) ELSE 0 END) AS pattern FROM iw),
+i2 AS (SELECT canon, width, arg_min(raw, item_id) AS raw, min(item_id) AS item_id FROM ix GROUP BY canon, width, pattern, CASE WHEN worded THEN low END),
+i3 AS (SELECT item_id, raw, list_transform(raw, lambda w: lower(w)) AS low, canon, width, unnest(range(1, len(raw) - width + 2)) AS item_at FROM i2),
+i5 AS (SELECT item_id, width, item_at, raw[item_at : item_at + width - 1] AS item_raw, canon[item_at : item_at + width - 1] AS item_canon,
+  CASE WHEN len(list_filter(canon[item_at : item_at + width - 1], lambda w: w NOT IN {slot})) >= least({LITERALS}, width) THEN 't' || array_to_string(canon[item_at : item_at + width - 1], chr(1)) ELSE 'v' || array_to_string(low[item_at : item_at + width - 1], chr(1)) END AS k FROM i3),
 i6 AS (SELECT item_id, count(*) AS item_windows FROM i5 GROUP BY item_id),
-d0 AS (SELECT doc_id, md5(coalesce(text, '')) AS h, {raw} AS raw FROM documents), d1 AS (SELECT doc_id, h, raw, {canon} AS canon FROM d0),
-d2 AS (SELECT doc_id, h, raw, canon, width, unnest(range(1, greatest(len(raw) - width + 2, 1))) AS doc_at FROM d1, (SELECT DISTINCT width FROM i5) AS w),
-d3 AS (SELECT doc_id, h, width, doc_at, raw[doc_at : doc_at + width - 1] AS doc_raw, array_to_string(canon[doc_at : doc_at + width - 1], chr(1)) AS k FROM d2),
+d0 AS (SELECT doc_id, md5(coalesce(text, '')) AS h, {raw} AS raw FROM documents), d1 AS (SELECT doc_id, h, raw, list_transform(raw, lambda w: lower(w)) AS low, {canon} AS canon FROM d0),
+d2 AS (SELECT doc_id, h, raw, low, canon, width, unnest(range(1, greatest(len(raw) - width + 2, 1))) AS doc_at FROM d1, (SELECT DISTINCT width FROM i5) AS w WHERE width >= {SHORT} OR len(raw) = width),
+d3 AS (SELECT doc_id, h, width, doc_at, raw[doc_at : doc_at + width - 1] AS doc_raw,
+  CASE WHEN len(list_filter(canon[doc_at : doc_at + width - 1], lambda w: w NOT IN {slot})) >= least({LITERALS}, width) THEN 't' || array_to_string(canon[doc_at : doc_at + width - 1], chr(1)) ELSE 'v' || array_to_string(low[doc_at : doc_at + width - 1], chr(1)) END AS k FROM d2),
 m AS (SELECT d3.doc_id, h, i5.item_id, doc_at - item_at AS shift, item_at, item_raw, item_canon, doc_raw FROM d3 JOIN i5 ON d3.width = i5.width AND d3.k = i5.k),
 e0 AS (SELECT doc_id, h, item_id, shift, count(DISTINCT item_at) AS n_windows FROM m GROUP BY doc_id, h, item_id, shift),
 e AS (SELECT e0.doc_id, h, e0.item_id, shift, n_windows FROM e0 JOIN i6 ON e0.item_id = i6.item_id WHERE n_windows >= {MATCHES} OR n_windows >= item_windows),
