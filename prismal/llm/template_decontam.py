@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import before, broadcast_if_small, pick, write_table
+from .shared import before, broadcast_if_small, let, pick, write_table
 
 #: Words in a window, and how many of them must be no placeholder; with fewer (of a
 #: shorter window: with any) it is known by its words alone.
@@ -50,20 +50,32 @@ def _is_literal(canon: Column) -> Column:
     return ~canon.isin("NUM", "NAME", "UNIT")
 
 
-def _parts(raw: Column) -> list[Column]:
-    """What windows are made of: hashes of the templates, hashes of the words, and literal words before each place."""
-    literal = F.transform(raw, lambda w: _is_literal(template(w)).cast("int"))
-    upto = F.concat(before(literal, lambda p, q: p + q), F.array(F.aggregate(literal, F.lit(0), lambda p, q: p + q)))
-    return [F.transform(raw, lambda w: F.xxhash64(template(w))).alias("kinds"), F.transform(raw, lambda w: F.xxhash64(F.lower(w))).alias("words"), upto.alias("upto")]
+def _parts(raw: Column, worded: bool = True) -> Column:
+    """What windows are made of: hashes of the templates, hashes of the words, and literal words before each place.
+
+    The last two are asked for only where some windows are known by their words.
+    """
+
+    def of(canon: Column) -> Column:
+        kinds = F.transform(canon, lambda w: F.xxhash64(w)).alias("kinds")
+        if not worded:
+            return F.struct(kinds)
+        literal = F.transform(canon, lambda w: F.when(_is_literal(w), 1).otherwise(0))
+        upto = let(literal, lambda x: F.concat(before(x, lambda p, q: p + q), F.array(F.aggregate(x, F.lit(0), lambda p, q: p + q))))
+        return F.struct(kinds, F.transform(raw, lambda w: F.xxhash64(F.lower(w))).alias("words"), upto.alias("upto"))
+
+    return let(F.transform(raw, template), of).alias("parts")
 
 
-def _windows(width: Column | int) -> Column:
-    """array of struct(at, width, hash) from ``raw`` and its ``_parts``, at from 1."""
+def _windows(width: Column | int, worded: bool = True) -> Column:
+    """array of struct(at, width, hash) from ``raw`` and its ``parts``, at from 1."""
     n, w = F.size("raw"), width if isinstance(width, Column) else F.lit(width)
 
     def window(i: Column) -> Column:
-        literal = F.element_at("upto", i + w) - F.element_at("upto", i)
-        known = F.when(literal >= F.least(F.lit(LITERALS), w), F.xxhash64(F.lit(1), F.slice("kinds", i, w))).otherwise(F.xxhash64(F.lit(2), F.slice("words", i, w)))
+        known = F.xxhash64(F.lit(1), F.slice("parts.kinds", i, w))
+        if worded:
+            literal = F.element_at("parts.upto", i + w) - F.element_at("parts.upto", i)
+            known = F.when(literal >= F.least(F.lit(LITERALS), w), known).otherwise(F.xxhash64(F.lit(2), F.slice("parts.words", i, w)))
         return F.struct(i.alias("at"), w.cast("int").alias("width"), known.alias("hash"))
 
     return F.when(n >= w, F.transform(F.sequence(F.lit(1), n - w + 1), window)).otherwise(F.array().cast("array<struct<at:int,width:int,hash:bigint>>"))
@@ -83,7 +95,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     pattern = F.transform("raw", lambda w: F.when(_is_literal(template(w)), 0).otherwise(F.array_position("raw", w)).cast("int"))
     same = F.when(worded, F.transform("raw", lambda w: F.lower(w)))
     items = items.groupBy("canon", "width", pattern.alias("pattern"), same.alias("same")).agg(F.min_by("raw", "item_id").alias("raw"), F.min("item_id").alias("item_id"))
-    items = items.select("item_id", "raw", "canon", "width", *_parts(F.col("raw"))).select("item_id", "raw", "canon", F.explode(_windows(F.col("width"))).alias("w"))
+    items = items.select("item_id", "raw", "canon", "width", _parts(F.col("raw"))).select("item_id", "raw", "canon", F.explode(_windows(F.col("width"))).alias("w"))
     rows = items.select(
         F.col("w.hash").alias("hash"), F.col("w.width").alias("width"), "item_id", F.col("w.at").alias("item_at"), F.slice("raw", F.col("w.at"), F.col("w.width")).alias("item_raw"),
         F.slice("canon", F.col("w.at"), F.col("w.width")).alias("item_canon"), F.size("raw").alias("item_size"), (F.size("raw") - F.col("w.width") + 1).cast("long").alias("item_windows"),
@@ -99,9 +111,11 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataF
         return spark.createDataFrame([], "doc_id long, text_hash long, item_id long, shift int, n_windows long, item_windows long")
     side = broadcast_if_small(bench)
     words = pick(docs, ["doc_id", "text"]).select("doc_id", F.xxhash64("text").alias("text_hash"), raw_words(F.col("text")).alias("raw"))
-    words = words.select("doc_id", "text_hash", "raw", *_parts(F.col("raw")))
+    # No text needs what no item has.
+    worded = not bench.where(F.size(F.filter("item_canon", _is_literal)) < F.least(F.lit(LITERALS), F.col("width"))).isEmpty()
+    words = words.select("doc_id", "text_hash", "raw", _parts(F.col("raw"), worded))
     # A width below SHORT is asked of texts of that size only.
-    asked = [_windows(w) if w >= SHORT else F.when(F.size("raw") == w, _windows(w)).otherwise(F.array().cast("array<struct<at:int,width:int,hash:bigint>>")) for w in widths]
+    asked = [_windows(w, worded) if w >= SHORT else F.when(F.size("raw") == w, _windows(w, worded)).otherwise(F.array().cast("array<struct<at:int,width:int,hash:bigint>>")) for w in widths]
     rows = words.select("doc_id", "text_hash", "raw", F.explode(F.concat(*asked)).alias("w"))
     met = rows.join(side, (rows["w.hash"] == side["hash"]) & (rows["w.width"] == side["width"]))
     found = met.select("doc_id", "text_hash", "item_id", "item_at", (F.col("w.at") - F.col("item_at")).alias("shift"), "item_windows", "item_raw", "item_canon", F.slice("raw", F.col("w.at"), F.col("w.width")).alias("doc_raw"))
