@@ -22,8 +22,11 @@ from .shared import pick, write_table
 
 UNKNOWN = "und"
 #: Bounds of what is fitted: labelled texts used (in expectation, by a hash of doc_id),
-#: languages, known words and n-grams of each size for a language.
-SAMPLE_TEXTS, LANGUAGES, WORDS, GRAMS = 20_000, 100, 30_000, 10_000
+#: known words and n-grams of each size for a language.  No language is left out.
+SAMPLE_TEXTS, WORDS, GRAMS = 20_000, 30_000, 10_000
+#: Numbers in the tables of all languages, 128 MB: with more than some 20 languages, each
+#: has fewer words and n-grams.
+VALUES = 1 << 25
 SIZES = (4, 3, 2, 1)
 #: Weight of a step to shorter n-grams, and of an unseen word against a known one.
 BACKOFF = 0.4
@@ -35,6 +38,14 @@ EVIDENCE = 40
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters (Unicode category L) in lower case; number signs such as one half are none."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text leaves 2 when divided by 4; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -77,7 +88,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, posterior); ``und`` and 0 without a letter."""
-        words = _WORD.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not words or not self.languages:
             return UNKNOWN, 0.0
         if len(self.rows) > CACHE_WORDS:
@@ -126,20 +137,20 @@ def _thinned(counts: DataFrame, keys: list[str], most: int) -> DataFrame:
 def fit(spark: SparkSession, docs: DataFrame, texts: int = SAMPLE_TEXTS) -> Model:
     """Fit on texts with a language that are not held out: all of them, or about ``texts`` chosen by a hash of doc_id."""
     labelled = pick(docs, ["doc_id", "text", "lang"]).where("doc_id is not null and text is not null and lang is not null").where(~held_out(F.col("doc_id")))
-    langs = [(r["lang"], r["n"]) for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    langs = [(r["lang"], r["n"]) for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]  # a row for each language
     total = sum(n for _, n in langs)
     if not total:
         return Model([], {}, {})
     names = sorted(x for x, _ in langs)
-    chosen = labelled.where(F.col("lang").isin(names))
+    chosen = labelled
     if total > texts:
-        chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * texts / total))
+        chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * texts / total))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+                found.setdefault(lang, Counter()).update(words_of(text))
         for lang, c in found.items():
             yield pa.record_batch([pa.array([lang] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
 
@@ -159,18 +170,27 @@ def fit(spark: SparkSession, docs: DataFrame, texts: int = SAMPLE_TEXTS) -> Mode
     grams = write_table(spark, grams, "lang-grams")
     column = {x: i for i, x in enumerate(names)}
 
-    def table(rows: DataFrame, totals: dict, key) -> dict[str, np.ndarray]:
-        got: dict[str, np.ndarray] = {}
-        for r in rows.toLocalIterator():  # LANGUAGES times WORDS or GRAMS rows at most
-            got.setdefault(r[1], np.zeros(len(names)))[column[r[0]]] = r[2]
-        return {w: np.log((n + 0.5) / key(w)) for w, n in got.items()}
-
+    def table(rows: DataFrame, key) -> dict[str, np.ndarray]:
+        got = rows.toArrow()  # for each language the rows that _thinned left
+        if not len(got):
+            return {}
+        keys, at = np.unique(np.array(got[1].to_pylist(), dtype=object), return_inverse=True)
+        n = np.zeros((len(keys), len(names)), dtype=np.float32)
+        n[at, [column[x] for x in got[0].to_pylist()]] = got[2].to_numpy()
+        n += np.float32(0.5)
+        sizes = np.array([len(x) for x in keys])
+        for size in np.unique(sizes):
+            n[sizes == size] /= key(int(size)).astype(np.float32)
+        return dict(zip(keys.tolist(), np.log(n, out=n), strict=True))
+
+    share = VALUES // len(names) ** 2
+    most = min(WORDS, max(1, share // 2)), min(GRAMS, max(1, share // 8))
     sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     word_total = np.array([sums.get(x, 0) + 0.5 * WORDS for x in names])
     parts = {(r["lang"], r["size"]): r["n"] for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
     gram_total = {s: np.array([parts.get((x, s), 0) + 0.5 * GRAMS for x in names]) for s in SIZES}
-    known = table(_thinned(counts, ["lang"], WORDS).select("lang", "word", "n"), sums, lambda w: word_total)
-    seen = table(_thinned(grams, ["lang", "size"], GRAMS).select("lang", "gram", "n"), parts, lambda g: gram_total[len(g)])
+    known = table(_thinned(counts, ["lang"], most[0]).select("lang", "word", "n"), lambda size: word_total)
+    seen = table(_thinned(grams, ["lang", "size"], most[1]).select("lang", "gram", "n"), lambda size: gram_total[size])
     return Model(names, known, seen)
 
 
