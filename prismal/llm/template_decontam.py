@@ -11,10 +11,12 @@ of the original keeps one value there.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import before, broadcast_if_small, let, pick, write_table
+from .shared import broadcast_if_small, let, pick, write_table
 
 #: Words in a window, and how many of them must be no placeholder; with fewer (of a
 #: shorter window: with any) it is known by its words alone.
@@ -51,7 +53,7 @@ def _is_literal(canon: Column) -> Column:
 
 
 def _parts(raw: Column, worded: bool = True) -> Column:
-    """What windows are made of: hashes of the templates, hashes of the words, and literal words before each place.
+    """What windows are made of: a hash of each word's template, one of the word, and 1 for a literal word.
 
     The last two are asked for only where some windows are known by their words.
     """
@@ -60,25 +62,34 @@ def _parts(raw: Column, worded: bool = True) -> Column:
         kinds = F.transform(canon, lambda w: F.xxhash64(w)).alias("kinds")
         if not worded:
             return F.struct(kinds)
-        literal = F.transform(canon, lambda w: F.when(_is_literal(w), 1).otherwise(0))
-        upto = let(literal, lambda x: F.concat(before(x, lambda p, q: p + q), F.array(F.aggregate(x, F.lit(0), lambda p, q: p + q))))
-        return F.struct(kinds, F.transform(raw, lambda w: F.xxhash64(F.lower(w))).alias("words"), upto.alias("upto"))
+        return F.struct(kinds, F.transform(raw, lambda w: F.xxhash64(F.lit(2), F.lower(w))).alias("words"), F.transform(canon, lambda w: F.when(_is_literal(w), 1).otherwise(0)).alias("literal"))
 
     return let(F.transform(raw, template), of).alias("parts")
 
 
-def _windows(width: Column | int, worded: bool = True) -> Column:
-    """array of struct(at, width, hash) from ``raw`` and its ``parts``, at from 1."""
-    n, w = F.size("raw"), width if isinstance(width, Column) else F.lit(width)
+def _joined(items: Column, width: int, join: Callable[[Column, Column], Column]) -> Column:
+    """What ``join`` makes of each ``width`` neighbours, in halves; those at the end are of fewer."""
+    if width == 1:
+        return items
+    half = 1 << ((width - 1).bit_length() - 1)
+    behind = lambda x: F.slice(x, F.lit(half + 1), F.size(x))
+    if width == 2 * half:
+        return let(_joined(items, half, join), lambda x: F.zip_with(x, behind(x), join))
+    return let(items, lambda x: F.zip_with(_joined(x, half, join), behind(_joined(x, width - half, join)), join))
+
 
-    def window(i: Column) -> Column:
-        known = F.xxhash64(F.lit(1), F.slice("parts.kinds", i, w))
-        if worded:
-            literal = F.element_at("parts.upto", i + w) - F.element_at("parts.upto", i)
-            known = F.when(literal >= F.least(F.lit(LITERALS), w), known).otherwise(F.xxhash64(F.lit(2), F.slice("parts.words", i, w)))
-        return F.struct(i.alias("at"), w.cast("int").alias("width"), known.alias("hash"))
+_NO_WINDOWS = "array<struct<at:int,width:int,hash:bigint>>"
 
-    return F.when(n >= w, F.transform(F.sequence(F.lit(1), n - w + 1), window)).otherwise(F.array().cast("array<struct<at:int,width:int,hash:bigint>>"))
+
+def _windows(width: int, worded: bool = True) -> Column:
+    """array of struct(at, width, hash) from ``raw`` and its ``parts``, at from 1."""
+    mixed = lambda x, y: F.xxhash64(x, y)
+    known = _joined(F.col("parts.kinds"), width, mixed)
+    if worded:
+        enough = F.zip_with(_joined(F.col("parts.literal"), width, lambda x, y: x + y), known, lambda n, h: F.when(n >= min(LITERALS, width), h))
+        known = F.zip_with(enough, _joined(F.col("parts.words"), width, mixed), lambda x, y: F.coalesce(x, y))
+    whole = F.slice(known, F.lit(1), F.greatest(F.size("raw") - (width - 1), F.lit(0)))
+    return F.transform(whole, lambda h, i: F.struct((i + 1).alias("at"), F.lit(width).alias("width"), h.alias("hash"))).cast(_NO_WINDOWS)
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -95,7 +106,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     pattern = F.transform("raw", lambda w: F.when(_is_literal(template(w)), 0).otherwise(F.array_position("raw", w)).cast("int"))
     same = F.when(worded, F.transform("raw", lambda w: F.lower(w)))
     items = items.groupBy("canon", "width", pattern.alias("pattern"), same.alias("same")).agg(F.min_by("raw", "item_id").alias("raw"), F.min("item_id").alias("item_id"))
-    items = items.select("item_id", "raw", "canon", "width", _parts(F.col("raw"))).select("item_id", "raw", "canon", F.explode(_windows(F.col("width"))).alias("w"))
+    items = items.select("item_id", "raw", "canon", "width", _parts(F.col("raw"))).select("item_id", "raw", "canon", F.explode(F.coalesce(*[F.when(F.col("width") == w, _windows(w)) for w in range(1, WINDOW + 1)])).alias("w"))
     rows = items.select(
         F.col("w.hash").alias("hash"), F.col("w.width").alias("width"), "item_id", F.col("w.at").alias("item_at"), F.slice("raw", F.col("w.at"), F.col("w.width")).alias("item_raw"),
         F.slice("canon", F.col("w.at"), F.col("w.width")).alias("item_canon"), F.size("raw").alias("item_size"), (F.size("raw") - F.col("w.width") + 1).cast("long").alias("item_windows"),
@@ -113,21 +124,29 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataF
     words = pick(docs, ["doc_id", "text"]).select("doc_id", F.xxhash64("text").alias("text_hash"), raw_words(F.col("text")).alias("raw"))
     # No text needs what no item has.
     worded = not bench.where(F.size(F.filter("item_canon", _is_literal)) < F.least(F.lit(LITERALS), F.col("width"))).isEmpty()
-    words = words.select("doc_id", "text_hash", "raw", _parts(F.col("raw"), worded))
+    words = words.select("doc_id", "text_hash", "raw", _parts(F.col("raw"), worded))  # the words end here: no window carries its text
     # A width below SHORT is asked of texts of that size only.
-    asked = [_windows(w, worded) if w >= SHORT else F.when(F.size("raw") == w, _windows(w, worded)).otherwise(F.array().cast("array<struct<at:int,width:int,hash:bigint>>")) for w in widths]
-    rows = words.select("doc_id", "text_hash", "raw", F.explode(F.concat(*asked)).alias("w"))
+    asked = [_windows(w, worded) if w >= SHORT else F.when(F.size("raw") == w, _windows(w, worded)).otherwise(F.array().cast(_NO_WINDOWS)) for w in widths]
+    rows = words.select("doc_id", "text_hash", F.explode(F.concat(*asked)).alias("w"))
     met = rows.join(side, (rows["w.hash"] == side["hash"]) & (rows["w.width"] == side["width"]))
-    found = met.select("doc_id", "text_hash", "item_id", "item_at", (F.col("w.at") - F.col("item_at")).alias("shift"), "item_windows", "item_raw", "item_canon", F.slice("raw", F.col("w.at"), F.col("w.width")).alias("doc_raw"))
+    found = met.select("doc_id", "text_hash", "item_id", "item_at", F.col("w.at").alias("doc_at"), (F.col("w.at") - F.col("item_at")).alias("shift"), "item_windows", "item_raw", "item_canon")
     found = write_table(spark, found, "template-hits")
     by = ["doc_id", "text_hash", "item_id", "shift"]
+    same = lambda x, y, on: [x[c].eqNullSafe(y[c]) for c in on]
     enough = found.groupBy(*by).agg(F.count_distinct("item_at").alias("n_windows"), F.first("item_windows").alias("item_windows")).where((F.col("n_windows") >= MATCHES) | (F.col("n_windows") >= F.col("item_windows")))
-    slots = found.select(*by, F.explode(F.arrays_zip("item_canon", "item_raw", "doc_raw")).alias("s")).where(F.col("s.item_canon").isin("NUM", "NAME", "UNIT"))
+    enough = write_table(spark, enough, "alignments")
+    # The words in the slots of these alignments, from their texts alone.
+    hits = broadcast_if_small(enough.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct())
+    texts = pick(docs, ["doc_id", "text"]).withColumn("text_hash", F.xxhash64("text"))
+    texts = texts.join(hits, texts["doc_id"].eqNullSafe(hits["d"]) & (texts["text_hash"] == hits["h"])).dropDuplicates(["d", "h"])
+    now = texts.select("doc_id", "text_hash", F.posexplode(raw_words(F.col("text"))).alias("pos", "now"))
+    place = F.explode(F.transform("item_raw", lambda w, j: F.struct((F.col("doc_at") + j - 1).alias("pos"), F.element_at("item_canon", j + 1).alias("kind"), w.alias("was"))))
+    slots = found.join(broadcast_if_small(enough.select(*by)), same(found, enough, by), "left_semi").select(*by, place.alias("s")).where(~_is_literal(F.col("s.kind"))).select(*by, "s.*").distinct()
+    slots = slots.join(now, same(slots, now, ["doc_id", "text_hash", "pos"])).select(*[slots[c] for c in (*by, "kind", "was")], "now")
     # One original value, two values in the text: the slot is inconsistent there.
-    value = slots.groupBy(*by, F.col("s.item_canon").alias("kind"), F.col("s.item_raw").alias("was")).agg((F.min("s.doc_raw") != F.max("s.doc_raw")).alias("torn"))
+    value = slots.groupBy(*by, "kind", "was").agg((F.min("now") != F.max("now")).alias("torn"))
     torn = value.groupBy(*by).agg(F.count(F.lit(1)).alias("slots"), F.sum(F.col("torn").cast("long")).alias("torn"))
-    same = [enough[c].eqNullSafe(torn[c]) for c in by]
-    kept = enough.join(torn, same, "left").where("torn is null or 2 * torn <= slots and torn <= 1")
+    kept = enough.join(torn, same(enough, torn, by), "left").where("torn is null or 2 * torn <= slots and torn <= 1")
     return kept.select(*[enough[c] for c in by], "n_windows", "item_windows")
 
 
