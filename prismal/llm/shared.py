@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -14,10 +15,16 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
+#: Scratch tables that this process has written and not yet removed.
+_WRITTEN: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one where unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one where unset, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="prismal-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -30,10 +37,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def write_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch_path(spark, name)
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables written so far; results that were not stored yet read them and are lost."""
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _width(name: str, kind: str) -> Column:
     """About the bytes of a value."""
     if kind in ("string", "binary"):

@@ -5,8 +5,8 @@ packed in turn, longest window first: an item of the tier opens a sequence and
 the gap it leaves is filled from the same and the shorter tiers, cutting the last
 filler so that the sequence ends exactly at the window.  What remains when the
 input of a partition ends is laid out in windows that are powers of two, so no
-sequence needs padding.  Sequences of a tier are dealt into step groups that all
-hold the same number of tokens.
+sequence needs padding.  Sequences of a tier are dealt into step groups of the same
+number of tokens; the last group of each window in a partition may hold fewer.
 """
 
 from __future__ import annotations
