@@ -90,6 +90,8 @@ def crowded_slots(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         rest = rest[~many[rest]]
         kind = np.repeat(np.array([0, 1], np.int32), [len(slots), len(rest)])
         yield pa.record_batch([pa.array(np.append(slots, rest), pa.int32()), pa.array(kind), pa.array(np.append(count[slots].astype(np.int64), n))], names=["slot", "kind", "n"])
+        del count, many, told
+        bpe.trim()
 
     told = pick(docs, ["text"]).mapInArrow(run, "slot int, kind int, n long")
     sure, hint = F.coalesce(F.sum(F.expr("if(kind = 0, n, null)")), F.lit(0)), F.coalesce(F.sum(F.expr("if(kind = 1, n, null)")), F.lit(0))
@@ -157,6 +159,8 @@ def _describe(crowd) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 prefix[i] = first.tobytes()
                 hist[i] = histogram(s)
             yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(n), pa.array(sign), pa.array(grp), pa.array(prefix, pa.binary()), pa.array(hist, pa.binary())], names=[c.split(" ")[0] for c in _ROWS.split(", ")])
+        del rank
+        bpe.trim()
 
     return run
 
@@ -347,6 +351,7 @@ def _sets_of(spark: SparkSession, docs: DataFrame, ids: DataFrame, name: str) ->
             ids = b.column(0).to_pylist()
             found = [(ids[i], s.tobytes()) for i, s in shingle_sets(b.column(1).to_pylist())]
             yield pa.record_batch([pa.array([i for i, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["id", "shingles"])
+        bpe.trim()
 
     made = pick(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(sets, "id long, shingles binary")
     return write_table(spark, made, name)
