@@ -324,11 +324,12 @@ def _needed_bits(pairs: DataFrame) -> np.ndarray:
     """A bit for each id of ``pairs``, in a filter of fixed size; other ids may pass it too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, dtype=bool)
+        bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
         for b in batches:
             for i in (0, 1):
-                bits[_filter_of(b.column(i).to_numpy())] = True
-        words = np.packbits(bits).view(np.int64)
+                at = _filter_of(b.column(i).to_numpy())
+                np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        words = bits.view(np.int64)
         at = np.flatnonzero(words)
         yield pa.record_batch([pa.array(at), pa.array(words[at])], names=["at", "word"])
 
