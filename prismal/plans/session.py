@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import tempfile
 import uuid
 import warnings
@@ -39,7 +40,7 @@ class ImageAudit:
         self.spark, self.verbose, self.config = spark, verbose, ReportConfig()
         self._start(build(spark, data_path, filepaths, frame, image_key, id_column, storage_options))
         if self.images.isEmpty():
-            raise ValueError("No images found in the dataset specified")
+            raise ValueError("the source holds no image")
 
     def _start(self, images: DataFrame | None) -> None:
         self.images = images
@@ -70,6 +71,8 @@ class ImageAudit:
         """Write ``df`` where all executors can read it: a recomputed part would decode images again."""
         root = self.spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", self.spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="prismal-")
             self.spark.conf.set("spark.checkpoint.dir", root)
         path = f"{root.rstrip('/')}/audit-{uuid.uuid4().hex}"
@@ -117,7 +120,7 @@ class ImageAudit:
         self.issue_summary = self.spark.createDataFrame(rows, "issue_type string, num_images long").coalesce(1)
         self._inform(list(request))
         if self.verbose if verbose is None else verbose:
-            print(f"Issue checks completed. {sum(n for _, n in rows)} issues found in the dataset. To see a detailed report of issues found, use report().")
+            print(f"{sum(n for _, n in rows)} flags over {len(rows)} issue types; report() lists the worst images.")
 
     def _assemble(self) -> None:
         """``issues`` as one plan over the stored properties."""
@@ -187,16 +190,16 @@ class ImageAudit:
         rows = [r.asDict() for r in summary.ordered(table).collect()]
         gone = [r["issue_type"] for r in rows if r["issue_type"] not in kept]
         if gone and verbosity:
-            print(f"Removing {', '.join(gone)} from potential issues in the dataset as it exceeds max_prevalence={most}")
+            print(f"Left out, since a share of {most} or more of all images has them: {', '.join(gone)}")
         rows = [r for r in rows if r["issue_type"] in kept]
         if not rows:
-            print("Please specify some issue_types to check for in find_issues().")
+            print("Nothing to report: run find_issues() with at least one issue type first.")
         elif print_summary and verbosity:
-            print("Issues found in images in order of severity in the dataset\n\n" + markdown(rows))
+            print("Flagged images by issue type, most frequent first\n\n" + markdown(rows))
         shown = [r["issue_type"] for r in rows if r["num_images"]]
         for r in rows:
             if r["num_images"] and verbosity:
-                print(f"{' ' + r['issue_type'] + ' images ':-^60}\n\nNumber of examples with this issue: {r['num_images']}\nExamples representing most severe instances of this issue:\n")
+                print(f"== {r['issue_type']}: {r['num_images']} flagged; the worst are shown")
         return self.visualize(issue_types=shown, num_images=k, show_id=show_id) if shown else self._empty_view()
 
     def _empty_view(self) -> DataFrame:
