@@ -42,9 +42,14 @@ def write_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_scratch(spark: SparkSession) -> None:
-    """Remove all scratch tables written so far; results that were not stored yet read them and are lost."""
-    while _WRITTEN:
+def written() -> int:
+    """How many scratch tables there are now."""
+    return len(_WRITTEN)
+
+
+def remove_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Remove the scratch tables written after the first ``since``; results not stored yet that read them are lost."""
+    while len(_WRITTEN) > since:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
