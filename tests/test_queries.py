@@ -5,6 +5,7 @@ import os
 import pytest
 
 from prismal.plans import queries as Q
+from prismal.plans import raster_queries  # noqa: F401  adds to the same tables
 
 DATA = "/root/testdata/sf0.001"
 
