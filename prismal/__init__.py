@@ -2,7 +2,7 @@
 
 from .schema import VERSION as __version__
 
-__all__ = ["ImageAudit", "Detector", "register_detector", "__version__"]
+__all__ = ["ImageAudit", "Detector", "PixelDetector", "register_detector", "load_detectors", "__version__"]
 
 
 def __getattr__(name: str):
@@ -10,7 +10,7 @@ def __getattr__(name: str):
         from .plans.session import ImageAudit
 
         return ImageAudit
-    if name in ("Detector", "register_detector"):
+    if name in ("Detector", "PixelDetector", "register_detector", "load_detectors"):
         from .operators import registry
 
         return getattr(registry, name)

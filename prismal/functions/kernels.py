@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import hashlib
 import math
 from collections.abc import Callable
 
@@ -187,7 +186,3 @@ def chash(image: np.ndarray, bits: int) -> str:
 
 
 HASHES: dict[str, Callable[[np.ndarray, int], str]] = {"ahash": ahash, "dhash": dhash, "phash": phash, "whash": whash, "chash": chash}
-
-
-def exact_hash(data: bytes) -> str:
-    return hashlib.md5(data, usedforsecurity=False).hexdigest()

@@ -8,10 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def perceived_brightness(r: Column, g: Column, b: Column) -> Column:
-    return F.sqrt(0.241 * r * r + 0.691 * g * g + 0.068 * b * b) / 255
-
-
 def aspect_ratio(width: Column, height: Column) -> Column:
     return F.least(width / height, height / width)
 
@@ -54,9 +50,9 @@ def grayscale_score(p: dict[str, Any] | None = None) -> Column:
     return F.when(F.col("color_space") == "L", 0.0).otherwise(F.when(F.col("color_space").isNotNull(), 1.0))
 
 
-def size_fences(column: Column, factor: float) -> list[Column]:
-    """Aggregates for ``size_score``: the middle and the width of the fences around the quartiles."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.75)))
+def size_fences(quartiles: Column, factor: float) -> list[Column]:
+    """For ``size_score``, from the array of both quartiles: the middle and the width of the fences around them."""
+    q = [quartiles[0], quartiles[1]]
     low, high = q[0] - factor * (q[1] - q[0]), q[1] + factor * (q[1] - q[0])
     return [((low + high) / 2).alias("size_middle"), (high - low).alias("size_gap")]
 

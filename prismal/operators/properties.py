@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,10 @@ def hash_column(kind: str, hash_size: int | None) -> str:
     return kind if hash_size is None else f"{kind}_{hash_size}"
 
 
-def compute(images: DataFrame, properties: Sequence[str] = (), hashes: Sequence[tuple[str, int | None]] = ()) -> DataFrame:
-    """image_id, ord, name, then the columns of ``properties`` and one for each of ``hashes``.
+def compute(images: DataFrame, properties: Sequence[str] = (), hashes: Sequence[tuple[str, int | None]] = (), own: dict[str, Callable[[np.ndarray], float | None]] | None = None) -> DataFrame:
+    """image_id, ord, name, then the columns of ``properties``, of ``own`` and one for each of ``hashes``.
+
+    ``own`` has functions of an image's pixels by the name of the column they fill.
 
     Each image is read and decoded once however much is asked for.  Geometry and md5
     are expressions; only what needs pixel arithmetic goes through numpy, in Arrow
@@ -39,10 +42,11 @@ def compute(images: DataFrame, properties: Sequence[str] = (), hashes: Sequence[
     easy = [_GEOMETRY[p]().alias(p) for p in _GEOMETRY if p in properties]
     if any(k == "md5" for k, _ in hashes):
         easy.append(F.md5("image.data").alias("md5"))
-    if not pixel and not perceptual:
+    own = own or {}
+    if not pixel and not perceptual and not own:
         return images.select(*keep, *easy)
     head = images.select(*keep, *easy, F.col("image.height").alias("__h"), F.col("image.width").alias("__w"), F.col("image.nChannels").alias("__c"), F.col("image.data").alias("__d"))
-    columns = [c for p in pixel for c in COLUMNS[p]]
+    columns = [c for p in pixel for c in COLUMNS[p]] + list(own)
     names = [hash_column(k, n) for k, n in perceptual]
     kept = [f for f in head.schema.fields if not f.name.startswith("__")]
 
@@ -63,6 +67,9 @@ def compute(images: DataFrame, properties: Sequence[str] = (), hashes: Sequence[
                 if "blurriness" in pixel:
                     for k, v in kernels.blurriness(image).items():
                         out[k][i] = v
+                for name, kernel in own.items():
+                    value = kernel(image)
+                    out[name][i] = None if value is None else float(value)
                 for (kind, n), name in zip(perceptual, names, strict=True):
                     out[name][i] = kernels.HASHES[kind](image, n)
             arrays = [b.column(b.schema.get_field_index(f.name)) for f in kept]

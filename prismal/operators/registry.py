@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import importlib
 import logging
+import pkgutil
 from abc import ABC, abstractmethod
 from typing import Any
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.scores import flag
+from ..schema import flag_column, score_column
 
 log = logging.getLogger(__name__)
 
@@ -29,7 +36,48 @@ class Detector(ABC):
     def transform(self, images: DataFrame, params: dict[str, Any]) -> DataFrame: ...
 
     def params(self, given: dict[str, Any] | None) -> dict[str, Any]:
-        return self.default_params() | {k: v for k, v in (given or {}).items() if v is not None}
+        """Defaults overlaid by the given values that are not None; unknown names and other types raise."""
+        out = self.default_params()
+        for name, value in (given or {}).items():
+            if name not in out:
+                raise ValueError(f"{type(self).__name__} has no parameter {name!r}; it has {sorted(out)}")
+            if value is None:
+                continue
+            usual = out[name]
+            number = isinstance(usual, int | float) and not isinstance(usual, bool)
+            fits = isinstance(value, int | float) and not isinstance(value, bool) if number else usual is None or isinstance(value, type(usual))
+            if not fits:
+                raise ValueError(f"{name} of {type(self).__name__} must be of type {type(usual).__name__}, not {type(value).__name__}")
+            out[name] = value
+        return out
+
+
+class PixelDetector(Detector):
+    """Scores one number that ``kernel`` takes from the pixels, in the pass that decodes each image once for all."""
+
+    @abstractmethod
+    def kernel(self, image: np.ndarray) -> float | None:
+        """Of (height, width) or (height, width, channels) uint8 pixels, channels R, G, B, A."""
+
+    def score(self, value: Column, params: dict[str, Any]) -> Column:
+        """0 is worst, 1 is fine; the value itself unless overridden."""
+        return value
+
+    def default_params(self) -> dict[str, Any]:
+        return {"threshold": 0.5}
+
+    def scored(self, properties: DataFrame, issue: str, params: dict[str, Any]) -> DataFrame:
+        """The columns of ``transform`` from a table that has the kernel's values; null values have no flag."""
+        score = self.score(F.col(value_column(issue)), params)
+        return properties.select("image_id", value_column(issue), score.alias(score_column(issue)), flag(score, params["threshold"]).alias(flag_column(issue)))
+
+    def transform(self, images: DataFrame, params: dict[str, Any]) -> DataFrame:
+        raise NotImplementedError("the audit computes kernels in its shared pass")
+
+
+def value_column(issue: str) -> str:
+    """Where the values of a ``PixelDetector`` stand among the properties."""
+    return f"{issue}_value"
 
 
 _DETECTORS: dict[str, type[Detector]] = {}
@@ -62,3 +110,13 @@ def detectors(names: list[str]) -> list[Detector]:
 
 def registered() -> list[str]:
     return sorted(_DETECTORS)
+
+
+def load_detectors(package: str) -> list[str]:
+    """Import all modules of a package, so that the detectors in them register; returns the new names."""
+    before = set(_DETECTORS)
+    found = importlib.import_module(package)
+    for module in pkgutil.iter_modules(getattr(found, "__path__", [])):
+        if not module.name.startswith("_"):
+            importlib.import_module(f"{package}.{module.name}")
+    return sorted(set(_DETECTORS) - before)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import flag_column, score_column
+from .quantiles import exact_quantiles
 
 
 def counts(issues: DataFrame, types: Sequence[str]) -> DataFrame:
@@ -23,8 +25,8 @@ def ordered(summary: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     """statistic, value of a number: count, mean, std, min, quartiles, max. Exact; nulls are left out."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    one = df.agg(F.count(column).cast("double").alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q.alias("q"), F.max(column).alias("max"))
+    one = df.agg(F.count(column).cast("double").alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    one = one.crossJoin(F.broadcast(exact_quantiles(df, column, (0.25, 0.5, 0.75))))  # one row each
     return one.selectExpr("stack(8, 'count', count, 'mean', mean, 'std', std, 'min', min, '25%', q[0], '50%', q[1], '75%', q[2], 'max', max) as (statistic, value)")
 
 
@@ -63,3 +65,12 @@ def merged(old: DataFrame, new: DataFrame, key: str = "image_id", overwrite: boo
 def upserted(summary: DataFrame, new: DataFrame) -> DataFrame:
     """``summary`` with the rows of ``new`` in place of those of the same issue_type."""
     return summary.join(new, "issue_type", "left_anti").unionByName(new)
+
+
+def deep_merged(old: dict[str, Any], new: dict[str, Any]) -> dict[str, Any]:
+    """``old`` overlaid by ``new``; where both have a dictionary, these are merged in turn. Neither is changed."""
+    out = dict(old)
+    for name, value in new.items():
+        before = out.get(name)
+        out[name] = deep_merged(before if isinstance(before, dict) else {}, value) if isinstance(value, dict) else value
+    return out

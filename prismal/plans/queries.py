@@ -7,13 +7,17 @@ size, a category, a shape or a hash.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import duplicates, properties, summary
+from ..operators.quantiles import exact_quantiles
+from ..operators.storage import stored
 from ..schema import DEFAULTS, flag_column, score_column
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,7 +134,7 @@ _NEAR_SQL = "lang || ':' || CAST(n_chars // 16 AS VARCHAR) || ':' || CAST(length
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda x: F.floor(x / 16).cast("long").cast("string")
-    near = F.concat_ws(":", "lang", part(F.col("n_chars")), part(F.length(F.regexp_replace("text", "[^a-m]", ""))))
+    near = F.concat_ws(":", "lang", part(F.col("n_chars")), part(F.length("text") - F.length(F.translate("text", "abcdefghijklm", ""))))
     size = scores.size(F.col("n_chars"), F.lit(1))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.col("doc_id").alias("ord"), F.md5("text").alias("exact"), near.alias("near"), size.alias("size"), F.col("lang").alias("color_space"))
 
@@ -173,7 +177,8 @@ o AS (SELECT doc_id, 1 - least(1.0, abs(size - mid) / CASE WHEN gap > 0 THEN gap
 
 
 def _odd_size(df: DataFrame) -> DataFrame:
-    fenced = df.crossJoin(F.broadcast(df.agg(*scores.size_fences(F.col("size"), DEFAULTS["odd_size"]["iqr_factor"]))))
+    fences = exact_quantiles(df, "size", (0.25, 0.75)).select(*scores.size_fences(F.col("q"), DEFAULTS["odd_size"]["iqr_factor"]))
+    fenced = df.crossJoin(F.broadcast(fences))  # one row
     score = scores.size_score(F.col("size"))
     return fenced.withColumns({"odd_size_score": score, "is_odd_size_issue": scores.flag(score, scores.size_threshold(None))}).drop("size_middle", "size_gap")
 
@@ -190,10 +195,18 @@ def odd_aspect_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _text_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.explode(F.split("text", "")).alias("c")).groupBy("image_id", "c").agg(F.count(F.lit(1)).alias("n"))
-    # -sum(p log p) from sums alone: no second pass for the totals.
-    sums = each.groupBy("image_id").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    return sums.select("image_id", (F.log2("total") - F.col("s") / F.col("total")).alias("entropy"))
+    """Entropy over the characters of each text, counted where the text is: no row for a character, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text in b.column(1).to_pylist():
+                n = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_counts=True)[1] if text else np.ones(1)
+                out.append(float(np.log2(n.sum()) - (n * np.log2(n)).sum() / n.sum()))
+            yield pa.record_batch([b.column(0), pa.array(out, pa.float64())], names=["image_id", "entropy"])
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), "text")
+    return docs.where("text is not null").mapInArrow(run, f"image_id {docs.schema['image_id'].dataType.simpleString()}, entropy double")
 
 
 @query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents), n AS (SELECT doc_id, c, count(*) AS n FROM c GROUP BY doc_id, c),
@@ -215,7 +228,7 @@ _TYPES = ("exact_duplicates", "near_duplicates", "odd_size", "grayscale")
 
 
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _odd_size(_documents(spark, sf_dir)).withColumn("color_space", F.when(F.col("color_space") == "en", "L").otherwise(F.col("color_space")))
+    df = _odd_size(stored(_documents(spark, sf_dir))).withColumn("color_space", F.when(F.col("color_space") == "en", "L").otherwise(F.col("color_space")))
     df = df.withColumns({"grayscale_score": scores.grayscale_score(), "is_grayscale_issue": scores.flag(scores.grayscale_score(), 0.5)})
     df = duplicates.flagged(df, duplicates.near_only(df, "near", "exact"), "near", "near_duplicates")
     return duplicates.flagged(df, duplicates.set_sizes(df, "exact"), "exact", "exact_duplicates")

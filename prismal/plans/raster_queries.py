@@ -36,7 +36,8 @@ def color_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
                 images.append({"origin": "", "height": HEIGHT, "width": WIDTH, "nChannels": 3, "mode": 16, "data": bgr.tobytes()})
             yield pd.DataFrame({"image_id": b["s_suppkey"], "image": images})
 
-    drawn = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey")).mapInPandas(draw, f"image_id long, image {IMAGE}")
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"))
+    drawn = keys.repartition(spark.sparkContext.defaultParallelism).mapInPandas(draw, f"image_id long, image {IMAGE}")
     return drawn.select("image_id", F.col("image_id").alias("ord"), F.lit("").alias("name"), "image")
 
 

@@ -4,21 +4,20 @@ from __future__ import annotations
 
 import json
 import math
-import re
-import tempfile
-import uuid
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import groupby
+from functools import reduce
 from os.path import commonprefix
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import duplicates, properties, registry, summary
+from ..operators.quantiles import exact_quantiles
+from ..operators.storage import remove, stored
 from ..schema import COLUMNS, DEFAULTS, DUPLICATE_TYPES, PROPERTY, VERSION, flag_column, merged_params, score_column
 from ..sources import build
 
@@ -47,6 +46,7 @@ class ImageAudit:
         self.version = VERSION
         self._properties: DataFrame | None = None  # written; all that was computed so far
         self._have: set[str] = set()
+        self._written: list[str] = []
         self._params: dict[str, dict[str, Any]] = {}
         self._custom: dict[str, DataFrame] = {}
         self._hashes: dict[str, str] = {}
@@ -55,6 +55,17 @@ class ImageAudit:
         self.info: dict[str, Any] = {"statistics": {}}
         self._types: list[str] = []
 
+    @classmethod
+    def of_properties(cls, spark: SparkSession, found: DataFrame, images: DataFrame | None = None) -> ImageAudit:
+        """An audit over properties and hashes that were computed before, such as those a stream has stored."""
+        self = cls.__new__(cls)
+        self.spark, self.verbose, self.config = spark, True, ReportConfig()
+        self._start(images)
+        self._properties = found
+        self._have = {p for p, columns in COLUMNS.items() if set(columns) <= set(found.columns)}
+        self._have |= set(found.columns) - {c for columns in COLUMNS.values() for c in columns}
+        return self
+
     # Issue types
 
     @staticmethod
@@ -69,28 +80,27 @@ class ImageAudit:
 
     def _stored(self, df: DataFrame) -> DataFrame:
         """Write ``df`` where all executors can read it: a recomputed part would decode images again."""
-        root = self.spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not re.fullmatch(r"local(\[[^\]]*\])?", self.spark.sparkContext.master):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            root = tempfile.mkdtemp(prefix="prismal-")
-            self.spark.conf.set("spark.checkpoint.dir", root)
-        path = f"{root.rstrip('/')}/audit-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _compute(self, wanted: list[str], hashes: list[tuple[str, int | None]]) -> None:
+        return stored(df, self._written)
+
+    def close(self) -> None:
+        """Remove the tables of this audit; what was not saved is lost."""
+        remove(self.spark, self._written)
+
+    def _compute(self, wanted: list[str], hashes: list[tuple[str, int | None]], kernels: dict[str, registry.PixelDetector] | None = None) -> None:
         names = {properties.hash_column(k, n): (k, n) for k, n in hashes}
         props = [p for p in wanted if p not in self._have]
         new = [v for k, v in names.items() if k not in self._have]
-        if not props and not new and self._properties is not None:
+        own = {registry.value_column(t): d.kernel for t, d in (kernels or {}).items() if registry.value_column(t) not in self._have}
+        if not props and not new and not own and self._properties is not None:
             return
-        got = properties.compute(self.images, props, new)
+        if self.images is None:
+            raise ValueError("this needs the images, which were not given")
+        got = properties.compute(self.images, props, new, own)
         if self._properties is None:
             self._properties = self._stored(got)
         else:
             self._properties = self._stored(self._properties.join(got.drop("ord", "name"), "image_id"))
-        self._have |= set(props) | set(names)
+        self._have |= set(props) | set(names) | set(own)
 
     def find_issues(self, issue_types: dict[str, dict[str, Any]] | None = None, n_jobs: int | None = None, verbose: bool | None = None) -> None:
         """Find the given types, with parameters by type; all default ones if none are given.
@@ -106,11 +116,12 @@ class ImageAudit:
         hashes = {t: (params[t]["hash_type"], None if params[t]["hash_type"] == "md5" else params[t]["hash_size"] if "hash_size" in params[t] else 8) for t in DUPLICATE_TYPES if t in request}
         if "near_duplicates" in request and "exact_duplicates" not in hashes and "exact_duplicates" not in self._hashes:
             hashes["exact_duplicates"] = ("md5", None)
-        self._compute(list(dict.fromkeys(PROPERTY[t] for t in request if t in PROPERTY)), list(hashes.values()))
+        custom = {t: registry.detector(t) for t in request if t not in DEFAULTS}
+        self._compute(list(dict.fromkeys(PROPERTY[t] for t in request if t in PROPERTY)), list(hashes.values()), {t: d for t, d in custom.items() if isinstance(d, registry.PixelDetector)})
         self._hashes |= {t: properties.hash_column(k, n) for t, (k, n) in hashes.items()}
-        for t in request:
-            if t not in DEFAULTS:
-                self._custom[t] = self._stored(registry.detector(t).transform(self.images, params[t]))
+        for t, d in custom.items():
+            found = d.scored(self._properties, t, params[t]) if isinstance(d, registry.PixelDetector) else d.transform(self.images, params[t])
+            self._custom[t] = self._stored(found)
         self._params |= params
         self._types += [t for t in request if t not in self._types]
         self._assemble()
@@ -126,7 +137,7 @@ class ImageAudit:
         """``issues`` as one plan over the stored properties."""
         df = self._properties
         if "odd_size" in self._types:
-            fences = df.agg(*scores.size_fences(F.col("size"), self._params["odd_size"]["iqr_factor"]))
+            fences = exact_quantiles(df, "size", (0.25, 0.75)).select(*scores.size_fences(F.col("q"), self._params["odd_size"]["iqr_factor"]))
             df = df.crossJoin(F.broadcast(fences))  # one row
         out: list = []
         for t in self._types:
@@ -153,23 +164,20 @@ class ImageAudit:
         return duplicates.near_only(self._properties, self._hashes[issue], self._hashes["exact_duplicates"])
 
     def _inform(self, types: list[str]) -> None:
+        new: dict[str, Any] = {"statistics": {}}
         for t in types:
             if t in PROPERTY:
                 p = PROPERTY[t]
-                self.info[t] = self._properties.select("image_id", *COLUMNS[p])
-                if p == "brightness":
-                    self.info["statistics"][p] = summary.describe(self._properties, "brightness")
-                elif p == "color_space":
-                    self.info["statistics"][p] = summary.describe_category(self._properties, p)
-                else:
-                    self.info["statistics"][p] = summary.describe(self._properties, p)
+                new[t] = self._properties.select("image_id", *COLUMNS[p])
+                new["statistics"][p] = summary.describe_category(self._properties, p) if p == "color_space" else summary.describe(self._properties, p)
             elif t in self._custom:
-                self.info[t] = self._custom[t]
+                new[t] = self._custom[t]
         for t in DUPLICATE_TYPES:
             if t in self._hashes and (t in types or "near_duplicates" in types):
                 sets = self.duplicate_sets(t)
                 rows = duplicates.members(self._properties, sets, self._hashes[t])
-                self.info[t] = {"members": rows, "sets": duplicates.as_lists(rows), "num_sets": sets.count()}
+                new[t] = {"members": rows, "sets": duplicates.as_lists(rows), "num_sets": sets.count()}
+        self.info = summary.deep_merged(self.info, new)
 
     # Reading
 
@@ -211,6 +219,7 @@ class ImageAudit:
         By issue type (the worst, or of duplicates the largest sets), else by path,
         else by id, else at random.  Only the chosen images are read.
         """
+        sets: list[DataFrame] = []
         if issue_types is not None:
             if not list(issue_types):
                 raise ValueError("issue_types list is empty")
@@ -218,15 +227,7 @@ class ImageAudit:
             picks: list[tuple] = []
             if single:
                 picks += [(r["issue_type"], r["rank"], r["image_id"], r["score"], None) for r in summary.worst_of_each(self.issues, single, num_images).collect()]
-            for t in issue_types:
-                if t in DUPLICATE_TYPES:
-                    top = duplicates.members(self._properties, self.duplicate_sets(t).orderBy(F.desc("set_size"), "first_ord").limit(num_images), self._hashes[t])
-                    named = top.join(self._properties.select("image_id", "name"), "image_id")
-                    shown = named.orderBy(F.desc("set_size"), "set_id", "ord").limit(num_images * 100).collect()
-                    for _, members in groupby(shown, key=lambda r: r["set_id"]):
-                        rows = list(members)
-                        names = truncated([r["name"] for r in rows], cell_size[0]) if len(rows) > 1 else [r["name"] for r in rows]
-                        picks += [(t, len(picks) + k + 1, r["image_id"], 1.0 / r["set_size"], name) for k, (r, name) in enumerate(zip(rows, names, strict=True))]
+            sets = [self._largest_sets(t, num_images, cell_size[0]) for t in issue_types if t in DUPLICATE_TYPES]
         elif image_files is not None:
             if not list(image_files):
                 raise ValueError("image_files list is empty")
@@ -235,19 +236,31 @@ class ImageAudit:
         elif indices is not None:
             picks = [("", n + 1, i, None, None) for n, i in enumerate(indices)]
         else:
-            chosen = self.images.select("image_id").orderBy(F.rand(seed)).limit(num_images).collect()
-            picks = [("", n + 1, r["image_id"], None, None) for n, r in enumerate(chosen)]
-        if not picks:
+            some = self.images.select("image_id").orderBy(F.rand(seed)).limit(num_images).collect()
+            picks = [("", n + 1, r["image_id"], None, None) for n, r in enumerate(some)]
+        if not picks and not sets:
             return self._empty_view()
         kind = self.images.schema["image_id"].dataType.simpleString()
-        wanted = F.broadcast(self.spark.createDataFrame(picks, f"issue_type string, rank int, image_id {kind}, score double, note string"))
-        rows = self.images.join(wanted, "image_id")
+        chosen = self.spark.createDataFrame(picks, f"issue_type string, rank int, image_id {kind}, score double, note string")
+        rows = self.images.join(reduce(DataFrame.unionByName, sets, chosen), "image_id")
         size = F.when(F.col("issue_type") == "odd_size", F.concat(F.lit("size: ("), F.col("image.width"), F.lit(", "), F.col("image.height"), F.lit(")")))
         score = F.when(F.col("note").isNull() & F.col("score").isNotNull(), F.format_string("score : %.4f", "score"))
         name = F.coalesce("note", F.when(F.col("score").isNull(), F.col("name")))
         title = F.concat_ws("\n", name, score, F.when(F.lit(show_id), F.concat(F.lit("id : "), F.col("image_id").cast("string"))), size)
         return rows.select("issue_type", "rank", "image_id", "score", title.alias("title"), "image").orderBy("issue_type", "rank")
 
+    def _largest_sets(self, issue: str, k: int, cell_width: float) -> DataFrame:
+        """issue_type, rank, image_id, score, note of all members of the ``k`` largest sets; nothing is collected."""
+        top = self.duplicate_sets(issue).orderBy(F.desc("set_size"), "first_ord").limit(k)
+        rows = duplicates.members(self._properties, top, self._hashes[issue]).join(self._properties.select("image_id", "name"), "image_id")
+        ends = rows.groupBy("set_id").agg(*titles_in_common("name", cell_width))
+        place = F.row_number().over(Window.partitionBy("set_id").orderBy("ord"))
+        sizes = rows.select("set_id", "set_size").distinct()
+        first = F.sum("set_size").over(Window.orderBy(F.desc("set_size"), "set_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("set_size")  # k rows
+        starts = sizes.withColumn("start", first).drop("set_size")
+        ranked = rows.withColumn("place", place).join(F.broadcast(starts), "set_id").join(F.broadcast(ends), "set_id")
+        return ranked.select(F.lit(issue).alias("issue_type"), (F.col("start") + F.col("place")).cast("int").alias("rank"), "image_id", (1.0 / F.col("set_size")).alias("score"), fitted_title("name", cell_width).alias("note"))
+
     # Persistence
 
     def _fs(self, path: str):
@@ -307,3 +320,30 @@ def truncated(titles: Sequence[str], cell_width: float = 2.0) -> list[str]:
     from_front = len(commonprefix(heads)) > len(commonprefix(tails))
     short = lambda t: "..." + t[-room:] if from_front else t[:room] + "..."
     return [t if len(t) < cell_width * _LETTERS_PER_INCH else short(t) for t in titles]
+
+
+def _room(cell_width: float) -> int:
+    return math.ceil(cell_width * _LETTERS_PER_INCH) - 4
+
+
+def _shared(a: Column, b: Column, room: int) -> Column:
+    """How many letters two strings share at their start, ``room`` at most."""
+    same = lambda k: (F.substring(a, 1, k) == F.substring(b, 1, k)) & (F.length(a) >= k) & (F.length(b) >= k)
+    return F.size(F.filter(F.sequence(F.lit(1), F.lit(room)), same))
+
+
+def titles_in_common(name: str, cell_width: float) -> list[Column]:
+    """Aggregate for ``fitted_title``: is the shared start longer than the shared end?
+
+    What all strings share at their start is what the least and the greatest share.
+    """
+    room = _room(cell_width)
+    head, tail = F.substring(name, 1, room), F.substring(F.reverse(name), 1, room)
+    return [(_shared(F.min(head), F.max(head), room) > _shared(F.min(tail), F.max(tail), room)).alias("from_front")]
+
+
+def fitted_title(name: str, cell_width: float) -> Column:
+    """``truncated`` as an expression over ``from_front``."""
+    room = _room(cell_width)
+    short = F.when(F.col("from_front"), F.concat(F.lit("..."), F.substring(name, -room, room))).otherwise(F.concat(F.substring(name, 1, room), F.lit("...")))
+    return F.when(F.length(name) < cell_width * _LETTERS_PER_INCH, F.col(name)).otherwise(short)

@@ -73,6 +73,8 @@ def merged_params(issue: str, given: dict[str, Any] | None, defaults: dict[str,
             if isinstance(value, bool) or not isinstance(value, int | float):
                 raise ValueError(f"{name} of {issue} must be a number, not {type(value).__name__}")
             value = float(value)
+            if name == "iqr_factor" and value < -0.5:
+                raise ValueError(f"iqr_factor of {issue} must be at least -0.5, or the fences would cross")
         out[name] = value
     if issue in DUPLICATE_TYPES:
         kind, size = out.get("hash_type"), out.get("hash_size")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,28 +56,65 @@ def from_files(spark: SparkSession, paths: Sequence[str], options: dict[str, str
     df = _reader(spark, options).load([p for p, _ in full])
     same = lambda c: F.regexp_replace(c, "^file:/+", "file:///")  # noqa: E731  both spellings of a local path
     order = spark.createDataFrame(full, "path string, at long").withColumn("path", same(F.col("path")))
-    return _by_path(df.join(F.broadcast(order), same(F.col("image.origin")) == F.col("path")), F.col("at"))
+    return _by_path(df.join(order, same(F.col("image.origin")) == F.col("path")), F.col("at"))
+
+
+def _is_image(kind: T.DataType) -> bool:
+    return isinstance(kind, T.StructType) and {"height", "width", "nChannels", "data"} <= set(kind.names)
+
+
+def _image_of(value: Column, kind: T.DataType) -> Column | None:
+    """The image in a value of a type: an image struct, encoded bytes, a struct with ``bytes``, or the first of these in a struct."""
+    if _is_image(kind):
+        return _decoded(value)
+    if isinstance(kind, T.BinaryType):
+        return _decode(value)
+    if isinstance(kind, T.StructType):
+        if "bytes" in kind.names:
+            return _decode(value["bytes"])
+        for field in kind.fields:
+            inner = _image_of(value[field.name], field.dataType)
+            if inner is not None:
+                return inner
+    return None
+
+
+#: Bits of ``monotonically_increasing_id`` that number the rows of a partition.
+_ROW_BITS = 33
+
+
+def numbered(df: DataFrame, name: str = "image_id") -> DataFrame:
+    """``df`` with ``name``: its rows counted from 0 in the order of its partitions.
+
+    Rows of each partition are counted first, in a pass of its own; no row is moved
+    and none leaves the JVM.  Where ``df`` has a shuffle, that pass reads its columns
+    too, so that both passes deal the rows alike.
+    """
+    at = "__at"
+    rows = df.withColumn(at, F.monotonically_increasing_id())
+    size = F.count(F.lit(1)).alias("size")
+    anchor = [F.max(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))] if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else []
+    sizes = rows.groupBy(F.shiftright(at, _ROW_BITS).alias("__part")).agg(size, *anchor)
+    before = F.sum("size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")  # a row for each partition
+    starts = sizes.select("__part", before.alias("__start"))
+    out = rows.join(F.broadcast(starts), F.shiftright(at, _ROW_BITS) == F.col("__part"))
+    return out.select((F.col("__start") + F.col(at).bitwiseAND((1 << _ROW_BITS) - 1)).alias(name), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def from_frame(df: DataFrame, image_key: str = "image", id_column: str | None = None) -> DataFrame:
-    """A table with an image column: Spark's image struct, encoded bytes, or a struct with ``bytes``.
+    """A table with an image column: Spark's image struct, encoded bytes, a struct with ``bytes``, or a pair such as (image, label).
 
     The id is ``id_column``, or the row's number in the order of the input's partitions.
     """
     if image_key not in df.columns:
         raise ValueError(f"image_key {image_key!r} is not a column; there are {df.columns}")
-    kind = df.schema[image_key].dataType
-    if isinstance(kind, T.StructType) and {"height", "width", "nChannels", "data"} <= set(kind.names):
-        image = _decoded(F.col(image_key))
-    else:
-        raw = F.col(image_key)["bytes"] if isinstance(kind, T.StructType) else F.col(image_key)
-        image = _decode(raw)
+    image = _image_of(F.col(f"`{image_key}`"), df.schema[image_key].dataType)
+    if image is None:
+        raise ValueError(f"{image_key!r} holds no image but {df.schema[image_key].dataType.simpleString()}")
     if id_column is not None:
-        rows = df.select(F.col(id_column).alias("image_id"), image.alias("image"))
+        rows = df.select(F.col(f"`{id_column}`").alias("image_id"), image.alias("image"))
     else:
-        numbered = df.select(image_key).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-        typed = T.StructType([T.StructField("image_id", T.LongType()), T.StructField(image_key, kind)])
-        rows = df.sparkSession.createDataFrame(numbered, typed).select("image_id", image.alias("image"))
+        rows = numbered(df.select(image_key)).select("image_id", image.alias("image"))
     return rows.select("image_id", F.col("image_id").alias("ord"), F.concat(F.lit("idx: "), F.col("image_id").cast("string")).alias("name"), "image")
 
 

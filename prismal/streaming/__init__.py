@@ -1,5 +1,5 @@
 """Audits that follow a growing folder."""
 
-from .incremental import image_stream, property_stream, score_stream
+from .incremental import image_stream, property_stream, score_stream, store_properties
 
-__all__ = ["image_stream", "property_stream", "score_stream"]
+__all__ = ["image_stream", "property_stream", "score_stream", "store_properties"]

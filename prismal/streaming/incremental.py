@@ -1,8 +1,9 @@
 """Structured Streaming: properties and scores of images as they arrive.
 
 What depends on one image alone is a stateless projection of the stream.  What
-depends on the whole dataset (odd sizes, duplicates) is a query over the properties
-that the stream has written.
+depends on the whole dataset (odd sizes, duplicates) is an audit over the properties
+that the stream has stored: ``store_properties`` writes them batch by batch, and
+``ImageAudit.of_properties`` scores all of them, old and new, without decoding again.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import kernels, scores
 from ..operators import properties
@@ -48,4 +50,10 @@ def score_stream(images: DataFrame, issue_types: dict[str, dict] | None = None)
     return df.select(*out)
 
 
-__all__ = ["IMAGE", "image_stream", "kernels", "property_stream", "score_stream"]
+def store_properties(images: DataFrame, path: str, checkpoint: str, hashes: Sequence[tuple[str, int | None]] = (("md5", None), ("phash", 8))) -> StreamingQuery:
+    """Start writing every property and hash of the images of a stream to Parquet; a batch that is run again is written once."""
+    found = property_stream(images, list(dict.fromkeys(PROPERTY.values())), hashes)
+    return found.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).start()
+
+
+__all__ = ["store_properties", "IMAGE", "image_stream", "kernels", "property_stream", "score_stream"]

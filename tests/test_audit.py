@@ -6,9 +6,10 @@ import pytest
 from conftest import png
 from pyspark.sql import functions as F
 
-from prismal import Detector, ImageAudit, register_detector
+from prismal import Detector, ImageAudit, PixelDetector, register_detector
 from prismal.functions import scores
 from prismal.operators import duplicates, registry, summary
+from prismal.operators.quantiles import exact_quantiles
 from prismal.plans.session import markdown, truncated
 from prismal.schema import DEFAULTS, flag_column, merged_params, score_column
 from prismal.sources import from_files, from_folder, list_files
@@ -128,7 +129,7 @@ def test_extensions_and_unreadable(spark, folder):
 def test_odd_size_thresholds(spark):
     def run(sizes, threshold):
         df = spark.createDataFrame([(i, float(s)) for i, s in enumerate(sizes)], "image_id int, size double")
-        df = df.crossJoin(df.agg(*scores.size_fences(F.col("size"), 3.0)))
+        df = df.crossJoin(exact_quantiles(df, "size", (0.25, 0.75)).select(*scores.size_fences(F.col("q"), 3.0)))
         return df.where(scores.flag(scores.size_score(F.col("size")), scores.size_threshold(threshold))).count()
 
     assert run([300] * 10, None) == 0
@@ -276,3 +277,105 @@ def test_encoded_bytes_and_image_stream(spark, folder):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select * from seen where dark_score is not null").count() == 20
+
+
+@pytest.mark.parametrize("values", [[], [None], [3.0], [1.0, 2.0], [5.0] * 50 + [1.0, 9.0, None], list(np.random.default_rng(2).normal(size=3000).round(2)), list(range(2000))])
+def test_exact_quantiles(spark, values):
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double").repartition(5)
+    shares = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = exact_quantiles(df, "x", shares).collect()
+    known = [v for v in values if v is not None]
+    assert len(got) == 1
+    assert got[0]["q"] == ([None] * 5 if not known else pytest.approx(np.quantile(known, shares).tolist()))
+
+
+def test_row_numbers(spark):
+    from prismal.sources.images import numbered
+
+    df = spark.range(0, 1000, numPartitions=7).where("id % 3 = 0").withColumnRenamed("id", "x")
+    assert [tuple(r) for r in numbered(df).collect()] == [(k, 3 * k) for k in range(334)]
+    moved = numbered(df.repartition(5))
+    assert sorted(r["image_id"] for r in moved.collect()) == list(range(334))
+    assert numbered(df.where("x < 0")).count() == 0
+
+
+def test_pairs_as_images(spark):
+    image = png(np.full((4, 5, 3), 9, np.uint8))
+    df = spark.createDataFrame([((bytearray(image), 1),), ((None, 0),)], "pair struct<picture: binary, label: int>")
+    rows = {r["image_id"]: r["image"] for r in ImageAudit(spark, frame=df, image_key="pair", verbose=False).images.collect()}
+    assert sum(i is not None for i in rows.values()) == 1 and set(rows) == {0, 1}
+    with pytest.raises(ValueError):
+        ImageAudit(spark, frame=spark.createDataFrame([(1,)], "image int"), image_key="image")
+
+
+def test_pixel_detector_in_the_shared_pass(spark, folder):
+    @register_detector("mean_red")
+    class MeanRed(PixelDetector):
+        def kernel(self, image):
+            return image[:, :, 0].mean() / 255
+
+    audit = ImageAudit(spark, str(folder), verbose=False)
+    audit.find_issues({"mean_red": {"threshold": 0.5}, "dark": {}})
+    rows = audit.issues.collect()
+    assert all(0.4 < r["mean_red_score"] < 0.6 and r["is_mean_red_issue"] == (r["mean_red_score"] < 0.5) for r in rows)
+    assert "mean_red_value" in audit.info["mean_red"].columns and "mean_red_value" in audit._properties.columns
+    with pytest.raises(ValueError):
+        audit.find_issues({"mean_red": {"limit": 1}})
+    with pytest.raises(ValueError):
+        audit.find_issues({"mean_red": {"threshold": "high"}})
+    audit.close()
+    assert not audit._written
+
+
+def test_deep_merge_and_loaded_detectors(tmp_path, monkeypatch):
+    old = {"a": {"b": 1, "c": {"d": 2}}, "e": 3}
+    assert summary.deep_merged(old, {"a": {"c": {"f": 4}}, "e": {"g": 5}}) == {"a": {"b": 1, "c": {"d": 2, "f": 4}}, "e": {"g": 5}}
+    assert old == {"a": {"b": 1, "c": {"d": 2}}, "e": 3}
+    (tmp_path / "plugged").mkdir()
+    (tmp_path / "plugged" / "__init__.py").write_text("")
+    (tmp_path / "plugged" / "one.py").write_text("from prismal import PixelDetector, register_detector\n\n@register_detector('plugged_one')\nclass One(PixelDetector):\n    def kernel(self, image):\n        return 1.0\n")
+    (tmp_path / "plugged" / "_skipped.py").write_text("raise AssertionError\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert registry.load_detectors("plugged") == ["plugged_one"]
+
+
+def test_titles_of_sets_and_contact_sheet(spark, tmp_path):
+    from prismal.functions.decode import decode
+    from prismal.plans import grid
+
+    a, b = np.full((30, 200, 3), 50, np.uint8), np.full((20, 20), 90, np.uint8)
+    names = {"a-very-long-beginning-of-a-name-1.png": a, "a-very-long-beginning-of-a-name-2.png": a, "b1.png": b, "b2.png": b, "b3.png": b}
+    for name, image in names.items():
+        (tmp_path / name).write_bytes(png(image))
+    audit = ImageAudit(spark, str(tmp_path), verbose=False)
+    audit.find_issues({"exact_duplicates": {}})
+    view = audit.visualize(issue_types=["exact_duplicates"])
+    rows = view.collect()
+    assert [r["title"] for r in rows] == ["b1.png", "b2.png", "b3.png", *truncated(sorted(names)[:2], 2)]
+    assert [r["rank"] for r in rows] == [1, 2, 3, 4, 5]
+    sheet = grid.contact_sheet(view, columns=2)
+    assert sheet.shape == (3 * 100 + 4, 2 * 100 + 4, 3) and (sheet[4:24, 4:24] == 90).all() and (decode(grid.png(sheet)) == sheet).all()
+    assert grid.contact_sheet(view.limit(0)) is None
+
+
+def test_audit_of_what_a_stream_has_stored(spark, folder, tmp_path_factory):
+    from prismal.streaming import image_stream, store_properties
+
+    out, marks = str(tmp_path_factory.mktemp("stored") / "p"), str(tmp_path_factory.mktemp("marks"))
+
+    def run():
+        q = store_properties(image_stream(spark, str(folder)), out, marks)
+        q.processAllAvailable()
+        q.stop()
+
+    run()
+    first = sorted(p for p in folder.rglob("*.png"))[0]
+    (folder / "late.png").write_bytes(first.read_bytes())
+    (folder / "huge.png").write_bytes(png(np.zeros((1000, 1000), np.uint8)))
+    run()
+    audit = ImageAudit.of_properties(spark, spark.read.parquet(out))
+    audit.find_issues(verbose=False)
+    assert audit.issues.count() == 22
+    assert flags(audit, "exact_duplicates") == {"late.png", first.name} and flags(audit, "odd_size") == {"huge.png"}
+    with pytest.raises(ValueError):
+        audit.find_issues({"near_duplicates": {"hash_type": "ahash"}})
