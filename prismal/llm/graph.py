@@ -43,24 +43,35 @@ def components_small(edges: DataFrame) -> DataFrame:
 def components(spark: SparkSession, edges: DataFrame, small: int = 0) -> DataFrame:
     """(node, component) for the two-column ``edges``; component is the least node reachable.
 
-    Each round takes the least label among neighbours and then the label's own
-    label, so chains halve.  Rounds are written to the shared folder.  Nulls and
-    loops link nothing; a node without a link to another has no row.  With ``small``,
-    a table of at most so many edges (it is counted) is joined in one task; the
-    result is the same.
+    Rounds of two steps: every node hands its larger neighbours its least one, then
+    its smaller neighbours theirs, until each component is a star around its least
+    node.  Whole trees are hooked at once, so that long chains in any order take a
+    number of rounds like the logarithm of their length.  Rounds are written to the
+    shared folder; a hub is one row on the small side of each join, and adaptive
+    execution splits its links on the other.  Nulls and loops link nothing; a node
+    without a link to another has no row.  With ``small``, a table of at most so many
+    edges (it is counted) is joined in one task; the result is the same.
     """
     a, b = edges.columns
     one = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b")
     if small and one.limit(small + 1).count() <= small:
         return write_table(spark, components_small(one), "components")
-    links = write_table(spark, one.union(one.select("b", "a")).groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b"), "links")
-    labels = write_table(spark, links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    links = write_table(spark, _larger_first(one), "links")
     while True:
-        near = links.join(labels.withColumnsRenamed({"node": "b", "label": "l"}), "b").groupBy("a").agg(F.min("l").alias("m"))
-        better = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        after = better.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
-        after = write_table(spark, after, "labels")
-        labels = after.select("node", "label")
-        if after.where("old != label").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        both = links.union(links.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Of links (v, u) with v > u; those of a node that is its own least one stay as they are.
+        hung = links.join(least.withColumnRenamed("a", "b"), "b").select("a", F.col("m").alias("b")).distinct()
+        hung = write_table(spark, hung, "links")
+        least = hung.groupBy("a").agg(F.min("b").alias("m"))
+        rest = hung.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = write_table(spark, _larger_first(least.select("a", F.col("m").alias("b")).union(rest)), "links")
+        same = after.join(links, ["a", "b"], "left_anti").isEmpty() and links.join(after, ["a", "b"], "left_anti").isEmpty()
+        links = after
+        if same:
+            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select("b", "b").distinct())
+
+
+def _larger_first(pairs: DataFrame) -> DataFrame:
+    """Distinct links, each as (a, b) with a > b."""
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
