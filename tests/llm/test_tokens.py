@@ -135,3 +135,28 @@ def test_store(spark, library):
     order = [(-1 if r["doc_id"] is None else r["doc_id"]) for r in sorted(out, key=lambda r: r["start"])]
     assert order == sorted(order)
     assert huffman_store.round_trip(spark, frame(spark, rows).limit(0), PATH).count() == 0
+
+
+def test_ids_are_counted_in_the_pass_that_tokenises(spark, library, monkeypatch):
+    monkeypatch.setattr(huffman_store, "COUNT_IDS", 50)
+    rows = odd_rows()
+    written = huffman_store._ordered_ids(spark, frame(spark, rows), PATH, 0, 3)
+    got = huffman_store.id_counts(written.drop("ids"))  # no id is read again
+    want = np.bincount([i for _, t, *_ in rows for i in whole(library, t)])
+    assert got.tolist() == want.tolist()
+    assert written.where("seen is null").count() == len(rows)
+    assert len(huffman_store.id_counts(huffman_store._ordered_ids(spark, frame(spark, rows).limit(0), PATH, 0, 3))) == 1
+
+
+@pytest.mark.parametrize("most", [0, 3, 10_000])
+def test_new_pieces_go_to_the_model_as_they_are(library, most, monkeypatch):
+    letters = [c for c in map(chr, range(0x100)) if c.isalpha() and c not in "ªµº"]
+    texts = ["".join(letters), *(f"{c}x a{c}b, {c}\n{c}{c}.\n\n{c}!" for c in letters), "one one, one\none one."]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    tok, asked = bpe.PieceEncoder(PATH, most), []
+    whole_text = tok._whole
+    monkeypatch.setattr(tok, "_whole", lambda t: asked.append(t) or whole_text(t))
+    for _ in range(2):
+        assert [np.frombuffer(tok.encode(t), "<u4").tolist() for t in texts] == want
+    assert len(tok.pieces) <= most
+    assert not any(c.isalpha() for t in asked for c in t)  # words never take the way of whole texts
