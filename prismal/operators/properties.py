@@ -20,6 +20,8 @@ _GEOMETRY = {
     "size": lambda: size(F.col("image.width"), F.col("image.height")),
 }
 _PIXELS = ("brightness", "entropy", "blurriness")
+#: About the bytes of pixels that are handed to a worker at once.
+BATCH_BYTES = 8 << 20
 
 
 def hash_column(kind: str, hash_size: int | None) -> str:
@@ -77,4 +79,8 @@ def compute(images: DataFrame, properties: Sequence[str] = (), hashes: Sequence[
             yield pa.record_batch(arrays, names=[f.name for f in kept] + columns + names)
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{c}` double" for c in columns] + [f"`{c}` string" for c in names])
+    # Spark counts rows of a batch unless told otherwise, and 10,000 images are many bytes.
+    spark, key = images.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     return head.mapInArrow(run, schema)

@@ -21,6 +21,8 @@ from ..schema import COLUMNS, DEFAULTS, IMAGE, PERCENTILES
 from .queries import query, table
 
 WIDTH, HEIGHT = 96, 72
+#: Images that are drawn and handed on at once.
+DRAWN = 64
 
 
 def color_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,12 +31,13 @@ def color_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         y, x = np.mgrid[0:HEIGHT, 0:WIDTH]
         for b in batches:
-            images = []
-            for k in b["s_suppkey"].tolist():
-                plane = k * 37 + x * (2 + k % 5) + y * (1 + k % 7) + x * y * (1 + k % 3) // 16
-                bgr = np.stack([(plane + c * (11 + k % 13)) % 256 for c in (2, 1, 0)], axis=2).astype(np.uint8)
-                images.append({"origin": "", "height": HEIGHT, "width": WIDTH, "nChannels": 3, "mode": 16, "data": bgr.tobytes()})
-            yield pd.DataFrame({"image_id": b["s_suppkey"], "image": images})
+            for lo in range(0, len(b), DRAWN):
+                keys, images = b["s_suppkey"].iloc[lo : lo + DRAWN], []
+                for k in keys.tolist():
+                    plane = k * 37 + x * (2 + k % 5) + y * (1 + k % 7) + x * y * (1 + k % 3) // 16
+                    bgr = np.stack([(plane + c * (11 + k % 13)) % 256 for c in (2, 1, 0)], axis=2).astype(np.uint8)
+                    images.append({"origin": "", "height": HEIGHT, "width": WIDTH, "nChannels": 3, "mode": 16, "data": bgr.tobytes()})
+                yield pd.DataFrame({"image_id": keys.to_numpy(), "image": images})
 
     keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"))
     drawn = keys.repartition(spark.sparkContext.defaultParallelism).mapInPandas(draw, f"image_id long, image {IMAGE}")
